@@ -63,9 +63,10 @@ class ByteBPE:
         self.rank_of = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(pairs)}
         byte_of = {c: b for b, c in enumerate(byte_characters())}
         self.byte_ids = np.array([vocab[c] for c in byte_characters()], np.int32)
-        self.first = np.full((256, 256), -1, np.int32)
-        low = np.arange(256)
-        self.first[:] = self.rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).reshape(256, 256)[np.ix_(low, low)]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.last_ids = np.array([vocab[c + suffix] for c in byte_characters()], np.int32)  # of a pre-token's last byte
+        left, right = np.repeat(self.byte_ids, 256), np.tile
+        self.first = np.stack([self.rank(left, right(ids, 256)).reshape(256, 256) for ids in (self.byte_ids, self.last_ids)])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
@@ -91,11 +92,12 @@ class ByteBPE:
         raw[row, col] = flat
         # positions are shifted by one, so that 0 stands before the first and len + 1 behind the last symbol
         sym = np.full((n, step), -1, np.int32)
-        sym[row, col + 1] = self.byte_ids[flat]
+        last = col == lens[row] - 1
+        sym[row, col + 1] = np.where(last, self.last_ids[flat], self.byte_ids[flat])
         nxt = np.tile(np.arange(1, step + 1, dtype=np.int32), (n, 1)).ravel()
         prv = np.tile(np.arange(-1, step - 1, dtype=np.int32), (n, 1)).ravel()
-        ranks = self.first[raw[:, :-1], raw[:, 1:]]
         place = np.arange(width, dtype=np.int32)
+        ranks = self.first[(place == (lens - 2)[:, None]).view(np.int8), raw[:, :-1], raw[:, 1:]]
         tree = np.full((n, 2 * width), NONE, np.int32)
         tree[:, width:] = np.where((ranks >= 0) & (place < (lens - 1)[:, None]), ranks * width + place, NONE)
         for level in range(width.bit_length() - 2, -1, -1):
@@ -138,6 +140,7 @@ class ByteBPE:
     def merge_one(self, word: bytes) -> bytes:
         """The same for one word of any length."""
         sym = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        sym[-1] = int(self.last_ids[word[-1]])
         n = len(sym)
         size = 1 << max(1, (n - 1).bit_length())
         none = 1 << 62
@@ -188,7 +191,7 @@ class ByteBPE:
             by.setdefault(next((x for x in WIDTHS if n <= x), 0) if n > 1 else 1, []).append(w)
         for width, own in by.items():
             if width == 1:
-                out.update((w, self.byte_ids[w.encode()[0]].astype("<i4").tobytes()) for w in own)
+                out.update((w, self.last_ids[w.encode()[0]].astype("<i4").tobytes()) for w in own)
             elif width:
                 for a in range(0, len(own), 50_000):
                     part = own[a : a + 50_000]

@@ -21,11 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SPACE
+from .bpe import SPACE, ByteBPE
 from .common import slices, texts_of, written
 
 CAPACITY = 4096
@@ -33,10 +34,18 @@ WIDTH = 8
 END = 2
 CACHE = 400_000
 CHUNK = re.compile(f"[^{SPACE}]+")
+SIMPLE = re.compile("[\x21-\x7e\xa1-\xff]+").fullmatch
+#: The pre-tokeniser's pattern (a fixed value of the vocabulary).
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordIds:
-    """Ids by the tokenizers library, memoised for runs without white space: this vocabulary's tokens never cross white space."""
+    """Ids as the tokenizers library gives them, memoised for runs without white space: this vocabulary's tokens never cross white space.
+
+    Runs of Latin-1 characters, which its normaliser only lower-cases, are
+    encoded many at a time by the segment tree of `bpe`; the library itself
+    encodes all others.
+    """
 
     def __init__(self, path: str):
         import os
@@ -47,19 +56,33 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = ByteBPE(path)
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
-        cut = [CHUNK.findall(t) for t in texts]
-        seen = set().union(*cut)
-        if len(self.cache) + len(seen) > CACHE:
+    def prepare(self, chunks: set[str]) -> None:
+        """Afterwards the cache has the ids of all these runs."""
+        if len(self.cache) + len(chunks) > CACHE:
             self.cache.clear()
-        fresh = [c for c in seen if c not in self.cache]
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
+        if len(self.words) > CACHE:
+            self.words.clear()
+        fresh = [c for c in chunks if c not in self.cache]
+        plain = [c for c in fresh if SIMPLE(c) and "<|" not in c]
+        cut = [[low] if (low := c.lower()).isalpha() else WORDS.findall(low) for c in plain]
+        words = self.words
+        words.update(self.model.learn([w for w in {w for own in cut for w in own} if w not in words]))
+        for c, own in zip(plain, cut):
+            self.cache[c] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        rest = [c for c in fresh if c not in self.cache]
+        for a in range(0, len(rest), 20_000):
+            part = rest[a : a + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
                 self.cache[c] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32."""
+        cut = [CHUNK.findall(t) for t in texts]
+        self.prepare(set().union(*cut))
         get = self.cache.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
