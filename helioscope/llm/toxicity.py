@@ -70,7 +70,8 @@ def subsequences(n: int, p: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scale(n: int) -> float:
-    """What the kernel of windows of length n is divided by: the root of its subsequences' squared weights."""
+    """What the kernel of windows of length n is divided by: the root of its subsequences' squared weights. Windows of fewer than six characters count as six, so that their few subsequences don't outweigh longer matches."""
+    n = max(n, 6)
     return float(np.sqrt(sum((subsequences(n, p)[1] ** 2).sum() for p in (3, 4))) or 1.0)
 
 
@@ -271,7 +272,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Mod
     clean_words = sorted(seen, key=lambda w: zlib.crc32(w.encode()))
     hard: list[str] = []
     model = Model()
-    for _ in range(3):
+    for _ in range(4):
         positive = [w for w, _ in found.most_common(2500)]
         if not positive:
             return Model()
@@ -284,7 +285,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Mod
         half = vectors[:, keep] / np.sqrt(values[keep])
         words = positive + changed + negative
         y = np.append(np.ones(len(positive) + len(changed)), -np.ones(len(negative)))
-        weight = np.concatenate([np.log1p([found[w] for w in positive]), np.full(len(changed), 0.5), np.log1p([seen[w] for w in negative])])
+        weight = np.concatenate([np.log1p([found[w] for w in positive]), np.full(len(changed), 0.5), np.minimum(np.sqrt([seen[w] for w in negative]), 20.0)])
         weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum()
         w = svm(kernel(words) @ half, y, weight)
         model = Model(kernel.folded(half @ w[:-1]), float(w[-1]))
