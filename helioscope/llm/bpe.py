@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import slices, texts_of
 
 NONE = np.int32(2**31 - 1)
-WIDTHS = (4, 8, 16, 32, 64)
+#: Leaves of the tree by a pre-token's bytes, up to 64; one byte needs no tree.
+WIDTH_OF = [1, 1, *(max(4, 1 << (n - 1).bit_length()) for n in range(2, 65))]
 CACHE = 400_000
 
 #: White space as the Unicode property has it.
@@ -184,20 +185,22 @@ class ByteBPE:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens."""
-        by: dict[int, list[str]] = {}
+        by: dict[int, tuple[list[str], list[bytes]]] = {}
         out: dict[str, bytes] = {}
         for w in words:
-            n = len(w.encode())
-            by.setdefault(next((x for x in WIDTHS if n <= x), 0) if n > 1 else 1, []).append(w)
-        for width, own in by.items():
+            raw = w.encode()
+            n = len(raw)
+            names, raws = by.setdefault(WIDTH_OF[n] if n <= 64 else 0, ([], []))
+            names.append(w)
+            raws.append(raw)
+        for width, (names, raws) in by.items():
             if width == 1:
-                out.update((w, self.last_ids[w.encode()[0]].astype("<i4").tobytes()) for w in own)
+                out.update((w, self.last_ids[raw[0]].astype("<i4").tobytes()) for w, raw in zip(names, raws))
             elif width:
-                for a in range(0, len(own), 50_000):
-                    part = own[a : a + 50_000]
-                    out.update(zip(part, self.merge_rows([w.encode() for w in part], width)))
+                for a in range(0, len(names), 50_000):
+                    out.update(zip(names[a : a + 50_000], self.merge_rows(raws[a : a + 50_000], width)))
             else:
-                out.update((w, self.merge_one(w.encode())) for w in own)
+                out.update((w, self.merge_one(raw)) for w, raw in zip(names, raws))
         return out
 
     def prepare(self, pieces: set[str]) -> None:
@@ -206,6 +209,9 @@ class ByteBPE:
         if len(cache) + len(pieces) > CACHE:
             cache.clear()
         fresh = [p for p in pieces if p not in cache]
+        whole = [p for p in fresh if p.isalpha() or p[0] == " " and p[1:].isalpha()]  # one pre-token each
+        cache.update(self.learn(whole))
+        fresh = [p for p in fresh if p not in cache]
         cut = [PATTERN.findall(p) for p in fresh]
         known = self.learn(list({w for c in cut for w in c}))
         for p, c in zip(fresh, cut):

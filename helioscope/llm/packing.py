@@ -32,7 +32,7 @@ from .common import slices, texts_of, written
 CAPACITY = 4096
 WIDTH = 8
 END = 2
-CACHE = 400_000
+CACHE = 800_000
 CHUNK = re.compile(f"[^{SPACE}]+")
 SIMPLE = re.compile("[\x21-\x7e\xa1-\xff]+").fullmatch
 #: The pre-tokeniser's pattern (a fixed value of the vocabulary).
@@ -66,13 +66,19 @@ class WordIds:
             self.cache.clear()
         if len(self.words) > CACHE:
             self.words.clear()
-        fresh = [c for c in chunks if c not in self.cache]
+        cache, words = self.cache, self.words
+        fresh = [c for c in chunks if c not in cache]
         plain = [c for c in fresh if SIMPLE(c) and "<|" not in c]
-        cut = [[low] if (low := c.lower()).isalpha() else WORDS.findall(low) for c in plain]
-        words = self.words
-        words.update(self.model.learn([w for w in {w for own in cut for w in own} if w not in words]))
-        for c, own in zip(plain, cut):
-            self.cache[c] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        lower = [c.lower() for c in plain]
+        body = [low[:-1] if low[:-1].isalpha() and not low[-1].isalnum() else low for low in lower]  # a word before one sign is the usual case
+        known = words.__contains__
+        new = {w for w in body if w.isalpha() and not known(w)}
+        new.update(low[-1] for low, w in zip(lower, body) if len(w) < len(low))
+        odd = {low: WORDS.findall(low) for low, w in zip(lower, body) if len(w) == len(low) and not w.isalpha()}
+        new.update(*odd.values())
+        words.update(self.model.learn([w for w in new if not known(w)]))
+        for c, low, w in zip(plain, lower, body):
+            cache[c] = b"".join([words[x] for x in odd[low]]) if low in odd else words[w] if len(w) == len(low) else words[w] + words[low[-1]]
         rest = [c for c in fresh if c not in self.cache]
         for a in range(0, len(rest), 20_000):
             part = rest[a : a + 20_000]
