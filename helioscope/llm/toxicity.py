@@ -39,7 +39,7 @@ DECAY = 0.6
 SPAN = 8
 WIDTH = 24
 LANDMARKS = 160
-SAMPLE = 3000
+SAMPLE = 2000
 THRESHOLD = 0.7
 CACHE = 300_000
 #: Characters with a code of their own; others share sixteen codes.
@@ -250,20 +250,20 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Mod
     """Fits a model to whole texts of both classes. Without a text of either class the model is untrained."""
     if not toxic or not clean:
         return Model()
-    bad = [list({w for t in tokens_of(x) for w in windows(t)}) for x in toxic]
-    good = [list({w for t in tokens_of(x) for w in windows(t)}) for x in clean]
+    same: dict[str, str] = {}  # one object for each window: the sample's windows are few, its texts aren't
+    bad, good = ([list({same.setdefault(w, w) for t in tokens_of(x) for w in windows(t)}) for x in own] for own in (toxic, clean))
 
     def grams(w: str) -> set[str]:
         return {w[i : i + 4] for i in range(len(w) - 3)} | {f"={w}"}
 
-    memo: dict[str, set[str]] = {}
-    of = lambda w: memo.get(w) or memo.setdefault(w, grams(w))
     ill, well = Counter(), Counter()
-    for docs, count in ((bad, ill), (good, well)):
-        for words in docs:
-            count.update(set().union(*(of(w) for w in words)))
-    lift = {g: np.log((a + 0.5) / (len(bad) + 1)) - np.log((well[g] + 0.5) / (len(good) + 1)) for g, a in ill.items() if a >= min(3, len(bad))}
-    rate = lambda w: max((lift.get(g, 0.0) for g in of(w)), default=0.0)
+    for words in bad:
+        ill.update(set().union(*map(grams, words)))
+    ill = Counter({g: a for g, a in ill.items() if a >= min(3, len(bad))})
+    for words in good:
+        well.update(g for g in set().union(*map(grams, words)) if g in ill)
+    lift = {g: np.log((a + 0.5) / (len(bad) + 1)) - np.log((well[g] + 0.5) / (len(good) + 1)) for g, a in ill.items()}
+    rate = lambda w: max((lift.get(g, 0.0) for g in grams(w)), default=0.0)
     found = Counter()
     for words in bad:
         ranked = sorted(((rate(w), w) for w in words), reverse=True)[:4]
