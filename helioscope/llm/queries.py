@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, knn, packing, simhash, toxicity, warc
+from . import bpe, flac, knn, packing, simhash, substring, suffix, toxicity, warc
 from .common import written
 
 #: Where the public tokenizers' files are: a parameter of the operators.
@@ -36,11 +36,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.dedup(table(spark, sf_dir, "documents")))
+
+
 def op6_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = written(knn.integer_vectors(table(spark, sf_dir, "embeddings")), "knn-vectors")
     return knn.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.dedup(table(spark, sf_dir, "documents")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(simhash.fingerprints(table(spark, sf_dir, "documents"))))
 
@@ -54,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
+    "op5_substring": op5_substring,
     "op6_kdtree": op6_kdtree,
+    "op8_suffix": op8_suffix,
     "op9_simhash": op9_simhash,
     "op10_flac": op10_flac,
 }
