@@ -14,6 +14,7 @@ by input partition and length, so no length, however common, meets in a task.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,17 +34,20 @@ WIDTH = 8
 END = 2
 CACHE = 800_000
 CHUNK = re.compile(f"[^{SPACE}]+")
-SIMPLE = re.compile("[\x21-\x7e\xa1-\xff]+").fullmatch
-#: The pre-tokeniser's pattern (a fixed value of the vocabulary).
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+BEYOND = re.compile("[^\x00-\xff]").search
+#: Lower-case letters and digits of Latin-1 by their Unicode categories.
+LETTER, DIGIT = ("".join(chr(c) for c in range(256) if unicodedata.category(chr(c))[0] == k and chr(c).lower() == chr(c)) for k in "LN")
+#: The pre-tokeniser's pattern for lower-case Latin-1 text.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+").findall
 
 
 class WordIds:
-    """Ids as the tokenizers library gives them, memoised for runs without white space: this vocabulary's tokens never cross white space.
+    """Ids as the tokenizers library gives them.
 
-    Runs of Latin-1 characters, which its normaliser only lower-cases, are
-    encoded many at a time by the segment tree of `bpe`; the library itself
-    encodes all others.
+    Texts of Latin-1 characters, which its normaliser only lower-cases, are cut
+    by the vocabulary's pattern, and the segment tree of `bpe` encodes each
+    distinct piece once; other texts go through the library, once for each
+    distinct run without white space, as this vocabulary's tokens cross none.
     """
 
     def __init__(self, path: str):
@@ -60,37 +63,33 @@ class WordIds:
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def prepare(self, chunks: set[str]) -> None:
-        """Afterwards the cache has the ids of all these runs."""
-        if len(self.cache) + len(chunks) > CACHE:
-            self.cache.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        cache, words = self.cache, self.words
-        fresh = [c for c in chunks if c not in cache]
-        plain = [c for c in fresh if SIMPLE(c) and "<|" not in c]
-        lower = [c.lower() for c in plain]
-        body = [low[:-1] if low[:-1].isalpha() and not low[-1].isalnum() else low for low in lower]  # a word before one sign is the usual case
-        known = words.__contains__
-        new = {w for w in body if w.isalpha() and not known(w)}
-        new.update(low[-1] for low, w in zip(lower, body) if len(w) < len(low))
-        odd = {low: WORDS.findall(low) for low, w in zip(lower, body) if len(w) == len(low) and not w.isalpha()}
-        new.update(*odd.values())
-        words.update(self.model.learn([w for w in new if not known(w)]))
-        for c, low, w in zip(plain, lower, body):
-            cache[c] = b"".join([words[x] for x in odd[low]]) if low in odd else words[w] if len(w) == len(low) else words[w] + words[low[-1]]
-        rest = [c for c in fresh if c not in self.cache]
-        for a in range(0, len(rest), 20_000):
-            part = rest[a : a + 20_000]
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        cut = [PIECES(t.lower()) for t in texts]
+        seen, words = set().union(*cut), self.words
+        if len(words) + len(seen) > CACHE:
+            words.clear()
+        words.update(self.model.learn(list(seen.difference(words))))
+        get = words.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+    def _other(self, texts: list[str]) -> list[bytes]:
+        cut = [CHUNK.findall(t) for t in texts]
+        seen, cache = set().union(*cut), self.cache
+        if len(cache) + len(seen) > CACHE:
+            cache.clear()
+        fresh = list(seen.difference(cache))
+        for a in range(0, len(fresh), 20_000):
+            part = fresh[a : a + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
+                cache[c] = np.array(e.ids, "<u4").tobytes()
+        get = cache.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        cut = [CHUNK.findall(t) for t in texts]
-        self.prepare(set().union(*cut))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        plain = [(t.isascii() or BEYOND(t) is None) and "<|" not in t for t in texts]
+        a, b = (iter(f([t for t, p in zip(texts, plain) if p == want])) for f, want in ((self._plain, True), (self._other, False)))
+        return [next(a if p else b) for p in plain]
 
 
 @lru_cache(maxsize=2)
