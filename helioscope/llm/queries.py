@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, knn, packing, simhash, substring, suffix, toxicity, warc
+from . import bpe, flac, knn, packing, pitman_yor, simhash, substring, suffix, toxicity, warc
 from .common import written
 
 #: Where the public tokenizers' files are: a parameter of the operators.
@@ -45,6 +45,10 @@ def op6_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.dedup(table(spark, sf_dir, "documents")))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_substring": op5_substring,
     "op6_kdtree": op6_kdtree,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_suffix": op8_suffix,
     "op9_simhash": op9_simhash,
     "op10_flac": op10_flac,
