@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, spread, texts_of, written
+from .common import mix64, slices, spread, written
 
 U = np.uint64
 CROWD = 20_000
@@ -93,9 +93,10 @@ def runs_of(u: Units, units: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarr
     return {"doc": doc[first], "start": at[first], "windows": np.diff(np.append(first, len(at))), "anchor": mix64(h[anchor[first]])}
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, row): row is a hash of both."""
-    return texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, row, carried_0, ...): row is a hash of both."""
+    doc, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(doc.alias("doc_id"), text.alias("text"), F.xxhash64(doc, text).alias("row"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -128,26 +129,52 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.diff(np.append(first, len(own)))
 
 
-def _notes_batch(rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """(row, blob of its values)."""
-    order, first, size = _groups(rows)
-    data = values[order]
-    width = data.dtype.itemsize * (data.shape[1] if data.ndim > 1 else 1)
-    raw = np.ascontiguousarray(data).tobytes()
-    blobs = [raw[a * width : (a + n) * width] for a, n in zip(first.tolist(), size.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(rows[order][first].view(np.int64)), pa.array(blobs, pa.binary())], ["row", "note"])
+def _parcels(rows: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Values of rows as parcels, one for each bucket of rows: rows, how many values each has, values."""
+    bucket = (mix64(rows) % U(buckets)).astype(np.int64)
+    order = np.lexsort((rows, bucket))
+    rows, values, bucket = rows[order], values[order], bucket[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+    out = []
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            _, first, size = _groups(rows[a:b])
+            out.append((i, rows[a:b][first].tobytes(), size.astype(np.uint32).tobytes(), np.ascontiguousarray(values[a:b]).tobytes()))
+    return out
+
+
+PARCEL = "bucket int, rows binary, sizes binary, values binary"
+
+
+def _unpacked(parcels: DataFrame, width: int, name: str) -> DataFrame:
+    """(row, name): all values of a row, each `width` bytes, as one blob."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_bucket(batches):
+            rows, sizes = _joined(held, 1, U), _joined(held, 2, np.uint32)
+            values = _joined(held, 3, np.dtype(("V", width)))
+            order, first, _ = _groups(np.repeat(rows, sizes))
+            flat = values[order].tobytes()
+            own = np.repeat(rows, sizes)[order][first]
+            cuts = (width * np.append(first, len(order))).tolist()
+            for a in range(0, len(own), 5000):
+                blobs = [flat[x:y] for x, y in zip(cuts[a : a + 5000], cuts[a + 1 : a + 5001])]
+                yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 5000].view(np.int64)), pa.array(blobs, pa.binary())], ["row", name])
+
+    n = spread(parcels.sparkSession)
+    return parcels.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"row bigint, {name} binary")
 
 
 def notes(docs: DataFrame, u: Units, same_row: bool) -> DataFrame:
-    """(row, note): 48-bit hashes of a row's anchors that stand elsewhere too, HOT set on crowded ones.
+    """(row, notes): 48-bit hashes of a row's anchors that stand elsewhere too, HOT set on crowded ones.
 
     same_row: whether a second place in the same row counts.
     """
     buckets = spread(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "rows", "row_counts", "hashes", "counts", "row", "note"]
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        names = ["bucket", "passed", "rows", "sizes", "hashes", "counts"]
+        types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         rows, hashes, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -160,29 +187,19 @@ def notes(docs: DataFrame, u: Units, same_row: bool) -> DataFrame:
             order, first, size = _groups(h)
             r, h = r[order], h[order]
             many = np.repeat(size > 1, size)
-            if many.any():
-                yield from passed(r[many], h[many])
+            out = [(i, True, *own, None) for i, *own in _parcels(r[many], h[many], buckets)]  # known to repeat: these go to no bucket of hashes
             r, h, n = r[first], h[first], size.astype(np.uint32)
             bucket = (mix64(h) % U(buckets)).astype(np.int32)
             order = np.lexsort((r, bucket))
             r, h, n, bucket = r[order], h[order], n[order], bucket[order]
             cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else []
-            out = []
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
                 _, starts, counts = _groups(r[a:b])
                 big = n[a:b] if (n[a:b] > 1).any() else n[:0]
-                out.append((int(bucket[a]), r[a:b][starts].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), big.tobytes(), None, None))
+                out.append((int(bucket[a]), False, r[a:b][starts].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), big.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-        def passed(r, h) -> Iterator[pa.RecordBatch]:
-            """Rows whose anchor is known to repeat go on at once, to no bucket of hashes."""
-            got = _notes_batch(r, h)
-            n = got.num_rows
-            none = pa.nulls(n, pa.binary())
-            bucket = (mix64(got.column(0).to_numpy().view(U)) % U(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), none, none, none, none, got.column(0), got.column(1)], names)
-
         for batch in slices(batches, "text"):
             units, lens = u.cut(batch.column(1).to_pylist())
             got = runs_of(u, units, lens)
@@ -198,14 +215,12 @@ def notes(docs: DataFrame, u: Units, same_row: bool) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _by_bucket(batches):
-            for b in held:
-                own = b.filter(b.column(5).is_valid())
-                if own.num_rows:
-                    yield pa.RecordBatch.from_arrays([own.column(5), own.column(6), pa.array([True] * own.num_rows)], ["row", "note", "passed"])
+            own = [x for b in held for x in zip(*(b.column(i).to_pylist() for i in range(6))) if x[1]]
+            yield parcels([(x[0], *x[2:5]) for x in own], True)
             rows, hashes, counts = [], [], []
             for b in held:
-                for r, c, h, n in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
-                    if r is None:
+                for passed, r, c, h, n in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
+                    if passed:
                         continue
                     rows.append(np.repeat(np.frombuffer(r, U), np.frombuffer(c, np.uint32)))
                     wide = np.zeros((len(h) // 6, 8), np.uint8)
@@ -220,35 +235,38 @@ def notes(docs: DataFrame, u: Units, same_row: bool) -> DataFrame:
             sums = np.add.reduceat(n.astype(np.int64), first)
             total = np.repeat(sums, size)
             tell = (total > 1) & (n == 1)  # rows behind larger counts know already
-            if tell.any():
-                got = _notes_batch(r[tell], np.where(total[tell] > u.crowd, h[tell] | HOT, h[tell]))
-                yield pa.RecordBatch.from_arrays([*got.columns, pa.array([False] * got.num_rows)], ["row", "note", "passed"])
+            yield parcels(_parcels(r[tell], np.where(total[tell] > u.crowd, h[tell] | HOT, h[tell]), buckets), False)
             crowded = h[first][sums > u.crowd]
             if len(crowded):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(crowded), pa.int64()), pa.array([c.tobytes() for c in crowded], pa.binary()), pa.array([False] * len(crowded))], ["row", "note", "passed"])
+                yield parcels([(-1, b"", b"", crowded.tobytes())], False)
+
+    def parcels(rows: list[tuple], passed: bool) -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([passed] * len(rows), pa.bool_())], ["bucket", "rows", "sizes", "values", "passed"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            many = np.fromiter((len(x) // 8 for x in b.column(1).to_pylist()), np.int64, b.num_rows)
-            rows = pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), many))
-            yield pa.RecordBatch.from_arrays([rows, pa.array([x[i : i + 8] for x in b.column(1).to_pylist() for i in range(0, len(x), 8)], pa.binary())], ["row", "hash"])
-
-    sent = docs.select("doc_id", "text", "row").mapInArrow(send, "bucket int, rows binary, row_counts binary, hashes binary, counts binary, row bigint, note binary")
-    told = written(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "row bigint, note binary, passed boolean"), "repeats")
-    out = told.where("row IS NOT NULL").select("row", "note")
-    crowded = told.where("row IS NULL").select(F.col("note").alias("hash")).distinct()
-    if not crowded.isEmpty():  # rows that passed their anchors on learn which of these are crowded
-        found = told.where("passed").select("row", "note").mapInArrow(pairs, "row bigint, hash binary").join(crowded, "hash")
-        out = out.union(found.select("row", _marked(F.col("hash")).alias("note")))
-    return out.groupBy("row").agg(F.collect_list("note").alias("notes"))
+            for r, n, v in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
+                rows = np.repeat(np.frombuffer(r, np.int64), np.frombuffer(n, np.uint32)) if r else np.zeros(len(v) // 8, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.frombuffer(v, np.int64))], ["row", "hash"])
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = _parcels(b.column(0).to_numpy().view(U), b.column(1).to_numpy().view(U) | HOT, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "rows", "sizes", "values"])
 
-def _marked(value: F.col) -> F.col:
-    """The eight bytes (little-endian) of a 48-bit hash with HOT set."""
-    return F.concat(F.substring(value, 1, 7), F.unhex(F.lit("80")))
+    sent = docs.select("doc_id", "text", "row").mapInArrow(send, "bucket int, passed boolean, rows binary, sizes binary, hashes binary, counts binary")
+    told = written(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, PARCEL + ", passed boolean"), "repeats")
+    out = told.where("bucket >= 0").select("bucket", "rows", "sizes", "values")
+    crowded = told.where("bucket < 0")
+    if not crowded.isEmpty():  # rows that passed their anchors on learn which of these are crowded
+        hashes = crowded.mapInArrow(pairs, "row bigint, hash bigint").select("hash").distinct()
+        found = told.where("passed").mapInArrow(pairs, "row bigint, hash bigint").join(hashes, "hash").select("row", "hash")
+        out = out.union(found.mapInArrow(marked, PARCEL))
+    return _unpacked(out, 8, "notes")
 
 
-RUN_COLUMNS = "bucket int, anchors binary, rows binary, docs binary, starts binary, windows binary, contents binary, hot binary, row bigint, note binary"
+RUN_COLUMNS = "bucket int, anchors binary, rows binary, docs binary, starts binary, windows binary, contents binary, hot binary, parcel binary, sizes binary, spans binary"
 
 #: Given runs (anchor, row, doc, windows, content, where each run's content starts), which windows are repeated: a flag for each window, run by run, and which of them need go no further.
 Resolve = Callable[[dict[str, np.ndarray]], np.ndarray]
@@ -257,7 +275,7 @@ HOT_ROW = np.dtype([("a", U), ("b", U), ("row", U), ("doc", np.int64), ("start",
 
 
 def repeated(docs: DataFrame, u: Units, same_row: bool, resolve: Resolve, first_stays: bool) -> DataFrame:
-    """(row, spans): blobs of (first, last) starts of windows, as int64 pairs, that are repeated.
+    """(row, spans): blob of (first, last) starts of windows, as int64 pairs, that are repeated.
 
     first_stays: of equal windows those of the least doc_id are kept (they are
     not told); else all of them are told. docs: (doc_id, text, row), where
@@ -267,20 +285,15 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, resolve: Resolve, first_
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RUN_COLUMNS.split(", ")]
-        types = [pa.int32(), *[pa.binary()] * 7, pa.int64(), pa.binary()]
+        types = [pa.int32(), *[pa.binary()] * 10]
         held: list[dict[str, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             runs = merged(held)
             settled = resolve(runs)  # what this task can tell by itself
-            if settled.any():
-                got = _spans(runs, settled)
-                n = got.num_rows
-                bucket = (mix64(got.column(0).to_numpy().view(U)) % U(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.nulls(n, pa.binary())] * 7, got.column(0), got.column(1)], names)
+            out = [(i, *[None] * 7, *own) for i, *own in _spans(runs, settled, buckets)]
             go = open_runs(runs, settled, first_stays)
-            out = []
             if len(go["anchor"]):
                 bucket = (mix64(go["anchor"]) % U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -292,7 +305,7 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, resolve: Resolve, first_
                 for a, b in zip(cuts, [*cuts[1:], len(own)]):
                     i = order[a:b]
                     part = content[(ends[a - 1] if a else 0) : ends[b - 1]]
-                    out.append((int(own[a]), go["anchor"][i].tobytes(), go["row"][i].tobytes(), go["doc"][i].tobytes(), go["start"][i].astype(np.uint32).tobytes(), go["windows"][i].astype(np.uint32).tobytes(), part.tobytes(), None, None, None))
+                    out.append((int(own[a]), go["anchor"][i].tobytes(), go["row"][i].tobytes(), go["doc"][i].tobytes(), go["start"][i].astype(np.uint32).tobytes(), go["windows"][i].astype(np.uint32).tobytes(), part.tobytes(), *[None] * 4))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
@@ -304,16 +317,12 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, resolve: Resolve, first_
                 rows[c] = np.repeat(x[c], x["windows"])
             rows["start"] = ragged(x["start"], x["windows"])
             flags, stay = _resolve_hot(rows, same_row, first_stays)
-            if flags.any():
-                got = _spans_of(rows["row"][flags], rows["start"][flags])
-                n = got.num_rows
-                bucket = (mix64(got.column(0).to_numpy().view(U)) % U(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.nulls(n, pa.binary())] * 7, got.column(0), got.column(1)], names)
+            out = [(i, *[None] * 7, *own) for i, *own in _spans_of(rows["row"][flags], rows["start"][flags], buckets)]
             rows = rows[stay]
             bucket = (rows["a"] % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist() if len(order) else []
-            out = [(int(bucket[order[a]]), *[None] * 6, rows[order[a:b]].tobytes(), None, None) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            out += [(int(bucket[order[a]]), *[None] * 6, rows[order[a:b]].tobytes(), *[None] * 3) for a, b in zip(cuts, [*cuts[1:], len(order)])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
@@ -321,7 +330,7 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, resolve: Resolve, first_
             units, lens = u.cut(batch.column(1).to_pylist())
             got = runs_of(u, units, lens)
             row, doc = batch.column(2).to_numpy().view(U), batch.column(0).to_numpy()
-            told = [np.frombuffer(b"".join(x), U) for x in batch.column(3).to_pylist()]
+            told = [np.frombuffer(x, U) for x in batch.column(3).to_pylist()]
             many = np.fromiter(map(len, told), np.int64, len(told))
             flat = np.concatenate(told) if told else np.zeros(0, U)
             # a row's own notes: hashes are mixed with the row's place in the slice, so that one sorted list serves all rows
@@ -361,27 +370,22 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, resolve: Resolve, first_
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _by_bucket(batches):
-            for b in held:
-                own = b.filter(b.column(8).is_valid())
-                if own.num_rows:
-                    yield pa.RecordBatch.from_arrays([own.column(8), own.column(9)], ["row", "note"])
+            out = [(x[0], *x[1:]) for b in held for x in zip(*(b.column(i).to_pylist() for i in (0, 8, 9, 10))) if x[1] is not None]
             rows = _joined(held, 7, HOT_ROW)
             if len(rows):
                 flags, _ = _resolve_hot(rows, same_row, first_stays)
-                if flags.any():
-                    yield _spans_of(rows["row"][flags], rows["start"][flags])
+                out += _spans_of(rows["row"][flags], rows["start"][flags], buckets)
             x = {"anchor": _joined(held, 1, U), "row": _joined(held, 2, U), "doc": _joined(held, 3, np.int64), "start": _joined(held, 4, np.uint32).astype(np.int64), "windows": _joined(held, 5, np.uint32).astype(np.int64), "content": _joined(held, 6, u.content)}
             if len(x["anchor"]):
                 lens = x["windows"] + (u.window - 1)
                 x["at"] = np.cumsum(lens) - lens
-                flags = resolve(x)
-                if flags.any():
-                    yield _spans(x, flags)
+                out += _spans(x, resolve(x), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "rows", "sizes", "values"])
 
     told = docs.join(notes(docs, u, same_row), "row").select("doc_id", "text", "row", "notes")
     sent = told.mapInArrow(send, RUN_COLUMNS)
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "row bigint, note binary")
-    return found.groupBy("row").agg(F.collect_list("note").alias("spans"))
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, PARCEL)
+    return _unpacked(found, 16, "spans")
 
 
 def open_runs(x: dict[str, np.ndarray], settled: np.ndarray, first_stays: bool) -> dict[str, np.ndarray]:
@@ -447,24 +451,26 @@ def _resolve_hot(rows: np.ndarray, same_row: bool, first_stays: bool) -> tuple[n
     return flags, stay
 
 
-def _spans(x: dict[str, np.ndarray], flags: np.ndarray) -> pa.RecordBatch:
-    return _spans_of(np.repeat(x["row"], x["windows"])[flags], ragged(x["start"], x["windows"])[flags])
+def _spans(x: dict[str, np.ndarray], flags: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    return _spans_of(np.repeat(x["row"], x["windows"])[flags], ragged(x["start"], x["windows"])[flags], buckets)
 
 
-def _spans_of(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """(row, blob of (first, last) window starts)."""
+def _spans_of(row: np.ndarray, start: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Parcels of (first, last) window starts."""
+    if not len(row):
+        return []
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
     first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)))
     last = np.append(first[1:], len(row)) - 1
-    return _notes_batch(row[first], np.stack([start[first], start[last]], 1).astype(np.int64))
+    return _parcels(row[first], np.stack([start[first], start[last]], 1).astype(np.int64), buckets)
 
 
-def covered(blobs: list[bytes] | None, n: int, window: int) -> np.ndarray:
+def covered(spans: bytes | None, n: int, window: int) -> np.ndarray:
     """Which of n units lie in a window of these spans."""
     out = np.zeros(n + 1, np.int64)
-    if blobs:
-        spans = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-        np.add.at(out, spans[:, 0], 1)
-        np.add.at(out, spans[:, 1] + window, -1)
+    if spans:
+        own = np.frombuffer(spans, np.int64).reshape(-1, 2)
+        np.add.at(out, own[:, 0], 1)
+        np.add.at(out, own[:, 1] + window, -1)
     return np.cumsum(out)[:n] > 0

@@ -186,3 +186,112 @@ def hex_digits(fp: F.col) -> F.col:
 def digests(found: DataFrame) -> DataFrame:
     """The columns of the query op9."""
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+WIDE = 4
+ROWS, BANDS, SPLITS = 2, 12, 6
+LEVELS = 3
+
+
+def expected_bits(similarity: float, bits: int = 64 * WIDE, margin: float = 0.5) -> int:
+    """Bits that differ between texts whose shingle sets (of one size) have this Jaccard similarity: the expectation and `margin` standard deviations."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + margin * np.sqrt(bits * p * (1 - p)))
+
+
+def wide_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, fp binary, lows binary): a hash of id and text, a fingerprint of 64 * WIDE bits, and the least values of the shingles under fixed hash functions. Texts without words have neither."""
+    n = ROWS * BANDS + SPLITS * LEVELS
+    factors = mix64(np.arange(101, 101 + n, dtype=np.uint64)) | np.uint64(1)
+    seeds = mix64(np.arange(1, WIDE + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps, lows = [], []
+            for text in batch.column(1).to_pylist():
+                h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+                if not len(h):
+                    fps.append(None)
+                    lows.append(None)
+                    continue
+                fps.append(b"".join(np.uint64(fingerprint(mix64(h ^ s))).tobytes() for s in seeds))
+                lows.append(np.array([(h * f).min() for f in factors]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.binary()), pa.array(lows, pa.binary())], ["doc_id", "row", "fp", "lows"])
+
+    rows = texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+    return rows.mapInArrow(run, "doc_id bigint, row bigint, fp binary, lows binary")
+
+
+def leaders(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """(leader, member): the least id leads all within max_bits of it, then the least id left leads, and so on."""
+    order = np.argsort(ids, kind="stable")
+    out = []
+    while len(order) > 1:
+        first, rest = order[0], order[1:]
+        near = rest[np.abs(table[rest] - table[first]).max(1) <= max_bits]  # else out of reach, by the triangle inequality
+        near = near[np.bitwise_count(fps[near] ^ fps[first]).sum(1) <= max_bits]
+        out += [(int(ids[first]), int(i)) for i in ids[near].tolist()]
+        order = np.setdiff1d(rest, near, assume_unique=True) if len(near) else rest
+        order = order[np.argsort(ids[order], kind="stable")]
+    return out
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, group): groups of documents (row is a hash of id and text) whose wide fingerprints differ as little as texts of at least this similarity do.
+
+    Candidates share both values of one of BANDS pairs of least shingle hashes:
+    at similarity 0.8 fewer than one pair in 10^5 shares none. A key with more
+    than `crowd` different fingerprints is split by SPLITS further least
+    values, up to LEVELS times. In a key the least document leads those near it,
+    so a key of n documents makes fewer than n edges. Documents with equal
+    least values and fingerprints are one node. Texts without words, and null
+    ids, are groups of their own.
+    """
+    max_bits = expected_bits(similarity)
+    prints = written(wide_prints(docs, words, id_col, text_col).where("doc_id IS NOT NULL AND fp IS NOT NULL"), "simhash-wide")
+    nodes = prints.groupBy("fp", "lows").agg(F.min("doc_id").alias("node"))
+    nodes = written(nodes, "simhash-nodes")
+    band = lambda i: F.xxhash64(F.lit(i), F.substring("lows", 8 * ROWS * i + 1, 8 * ROWS))
+    keyed = nodes.select("node", "fp", "lows", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
+    refs = mix64(np.arange(1, WIDE * PIVOTS + 1, dtype=np.uint64)).reshape(PIVOTS, WIDE)
+    n = spread(docs.sparkSession)
+    edges = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, fps = None, [], []
+
+        def close() -> list[tuple[int, int]]:
+            if len(ids) < 2:
+                return []
+            f = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WIDE)
+            table = np.stack([np.bitwise_count(f ^ r).sum(1) for r in refs], 1).astype(np.int16)
+            return leaders(np.array(ids, np.int64), f, table, max_bits)
+
+        for batch in batches:
+            out = []
+            for key, node, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    out += close()
+                    at, ids, fps = key, [], []
+                ids.append(node)
+                fps.append(fp)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["u", "v"])
+        out = close()
+        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["u", "v"])
+
+    for level in range(LEVELS + 1):
+        keyed = written(keyed, "simhash-bands")
+        many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        marked = written(keyed.join(many, "key"), "simhash-marked")
+        last = level == LEVELS
+        own = (marked if last else marked.where(F.col("n") <= crowd)).select("key", "node", "fp")
+        found = own.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "u bigint, v bigint")
+        edges = found if edges is None else edges.union(found)
+        rest = marked.where(F.col("n") > crowd)
+        if last or rest.isEmpty():
+            break
+        low = lambda i, level=level: F.xxhash64("key", F.substring("lows", 8 * (ROWS * BANDS + SPLITS * level + i) + 1, 8))
+        keyed = rest.select("node", "fp", "lows", F.explode(F.array(*[low(i) for i in range(SPLITS)])).alias("key"))
+    roots = components(edges, "simhash-components").select("node", "root")
+    named = nodes.join(roots, "node", "left").select("fp", "lows", F.coalesce("root", "node").alias("group"))
+    return prints.join(named, ["fp", "lows"]).select("doc_id", "row", "group")

@@ -23,7 +23,7 @@ from .repeats import U, Units, covered, keyed, ragged, repeated, twins
 
 WINDOW = 400
 GRAM = 96
-CROWD = 5000
+CROWD = 20_000
 #: Bytes of distinct runs that are sorted together, whole groups of an anchor.
 TEXT = 1 << 18
 #: Never a byte of UTF-8, so it parts runs.

@@ -332,6 +332,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id bigint, score double")
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            scores = shared.value.scores([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: F.col, parts: int) -> F.col:
     """crc32 of the id as text, modulo `parts`; null ids are in no fold."""
     return F.crc32(doc_id.cast("bigint").cast("string").cast("binary")) % parts
