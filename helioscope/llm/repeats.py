@@ -274,11 +274,12 @@ Resolve = Callable[[dict[str, np.ndarray]], np.ndarray]
 HOT_ROW = np.dtype([("a", U), ("b", U), ("row", U), ("doc", np.int64), ("start", np.int64)])
 
 
-def repeated(docs: DataFrame, u: Units, same_row: bool, resolve: Resolve, first_stays: bool) -> DataFrame:
+def repeated(docs: DataFrame, u: Units, same_row: bool, local: Resolve, resolve: Resolve, first_stays: bool) -> DataFrame:
     """(row, spans): blob of (first, last) starts of windows, as int64 pairs, that are repeated.
 
     first_stays: of equal windows those of the least doc_id are kept (they are
-    not told); else all of them are told. docs: (doc_id, text, row), where
+    not told); else all of them are told. local: what a task tells of its own
+    runs, all or some of what `resolve` would. docs: (doc_id, text, row), where
     null ids have been given a number.
     """
     buckets = spread(docs.sparkSession)
@@ -291,7 +292,7 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, resolve: Resolve, first_
 
         def flush() -> Iterator[pa.RecordBatch]:
             runs = merged(held)
-            settled = resolve(runs)  # what this task can tell by itself
+            settled = local(runs)  # what this task can tell by itself
             out = [(i, *[None] * 7, *own) for i, *own in _spans(runs, settled, buckets)]
             go = open_runs(runs, settled, first_stays)
             if len(go["anchor"]):

@@ -118,7 +118,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     """
     units = Words(window, crowd=crowd)
     base = keyed(docs.withColumn(id_col, F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))), id_col, text_col, carry)
-    spans = repeated(base.select("doc_id", "text", "row"), units, False, resolver(window), True)
+    spans = repeated(base.select("doc_id", "text", "row"), units, False, resolver(window), resolver(window), True)
     carried = [f"carried_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     """
     units = Words(window, crowd=crowd)
     base = keyed(docs.withColumn(id_col, F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))), id_col, text_col, carry)
-    spans = repeated(base.select("doc_id", "text", "row"), units, False, resolver(window), True)
+    spans = repeated(base.select("doc_id", "text", "row"), units, False, resolver(window), resolver(window), True)
     carried = [f"carried_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

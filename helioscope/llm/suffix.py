@@ -26,6 +26,8 @@ GRAM = 96
 CROWD = 20_000
 #: Bytes of distinct runs that are sorted together, whole groups of an anchor.
 TEXT = 1 << 18
+#: Bytes of sort keys that are held at once.
+KEYS = 128 << 20
 #: Never a byte of UTF-8, so it parts runs.
 PART = 0xFF
 
@@ -107,16 +109,20 @@ def rising(t: np.ndarray) -> np.ndarray:
 
 
 def direct_sort(text: bytes, at: np.ndarray, depth: int) -> np.ndarray:
-    """These suffixes in the order of their first `depth` bytes: by the first 32, and by all where those are equal."""
-    order = sorted((text[i : i + 32], i) for i in at.tolist())
-    out = np.fromiter((i for _, i in order), np.int64, len(order))
-    if depth > 32:
-        same = np.fromiter((a[0] == b[0] for a, b in zip(order, order[1:])), bool, max(len(order) - 1, 0))
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).view(np.int8)))
-        for a, b in edges.reshape(-1, 2).tolist():
-            own = out[a : b + 1].tolist()
-            own.sort(key=lambda i: text[i + 32 : i + depth])
-            out[a : b + 1] = own
+    """These suffixes in the order of their first `depth` bytes. Where that many copies would be large, by the first 32, and by all where those are equal."""
+    own = at.tolist()
+    if len(own) * depth <= KEYS:
+        keys = [text[i : i + depth] for i in own]
+        return at[np.array(sorted(range(len(own)), key=keys.__getitem__), np.int64)]
+    keys = [text[i : i + 32] for i in own]
+    order = sorted(range(len(own)), key=keys.__getitem__)
+    same = np.fromiter((keys[a] == keys[b] for a, b in zip(order, order[1:])), bool, len(order) - 1)
+    out = at[np.array(order, np.int64)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).view(np.int8)))
+    for a, b in edges.reshape(-1, 2).tolist():
+        tied = out[a : b + 1].tolist()
+        tied.sort(key=lambda i: text[i + 32 : i + depth])
+        out[a : b + 1] = tied
     return out
 
 
@@ -167,15 +173,28 @@ def repeated_starts(runs: list[bytes], window: int) -> list[np.ndarray]:
     return [flags[a : a + len(r) - window + 1] for a, r in zip(starts.tolist(), runs)]
 
 
+def copies(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the first of its content, and whether it has a copy."""
+    n = len(x["anchor"])
+    lead = twins(x)
+    many = np.zeros(n, bool)
+    copy = lead != np.arange(n)
+    many[copy] = True
+    many[lead[copy]] = True
+    return lead, many
+
+
+def local(x: dict[str, np.ndarray]) -> np.ndarray:
+    """A flag for each window of a task's own runs: its run has a copy. What else repeats is left to the buckets."""
+    return np.repeat(copies(x)[1], x["windows"])
+
+
 def resolver(window: int):
     def resolve(x: dict[str, np.ndarray]) -> np.ndarray:
         """A flag for each window of these runs: it stands in another run, or in this one once more."""
         n = len(x["anchor"])
-        lead = twins(x)
-        many = np.zeros(n, bool)
+        lead, many = copies(x)
         copy = lead != np.arange(n)
-        many[copy] = True
-        many[lead[copy]] = True
         lens = x["windows"] + (window - 1)
         flags = [np.full(w, m) for w, m in zip(x["windows"].tolist(), many.tolist())]
         order = np.flatnonzero(~copy)
@@ -217,7 +236,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     does. Null and empty texts have no bytes; null ids are kept.
     """
     base = keyed(docs, id_col, text_col)
-    spans = repeated(base, Bytes(window, crowd=crowd), True, resolver(window), False)
+    spans = repeated(base, Bytes(window, crowd=crowd), True, local, resolver(window), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
