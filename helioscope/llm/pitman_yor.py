@@ -41,7 +41,7 @@ CONTEXTS = OWN + CLASSES
 LOW48 = U((1 << 48) - 1)
 #: The end of a text is a token of its own; words are never empty.
 ENDING = b""
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 CACHE = 400_000
 THETA = 1.0
 
@@ -123,7 +123,25 @@ def vocabulary(docs: DataFrame, own: int = OWN) -> dict:
 #: kind 0: pairs of documents; kind 1: documents. Counts of base_score's frequent words are summed by the sender.
 SENT = "bucket int, kind int, docs binary, lens binary, contexts binary, words binary, rare binary"
 DOC = np.dtype([("row", U), ("id", np.int64), ("null", np.int8), ("train", np.int8), ("n", np.int64), ("known", np.int64), ("base", np.float64)])
-PART = np.dtype([("row", U), ("known", np.int64), ("base", np.float64), ("score", np.float64)])
+PART = np.dtype([("known", np.uint32), ("score", np.float32), ("base", np.float64)])
+LONG = 65_535
+
+
+def _packed(rows: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and how many tokens each has as 16-bit numbers; larger ones take several entries."""
+    parts = np.maximum(-(-many // LONG), 1)
+    lens = np.full(int(parts.sum()), LONG, np.int64)
+    lens[np.cumsum(parts) - 1] = many - (parts - 1) * LONG
+    return np.repeat(rows, parts), lens.astype(np.uint16)
+
+
+def _deltas(x: np.ndarray) -> bytes:
+    """Differences of neighbours (modulo 2^64), which compress where rows rise slowly."""
+    return np.diff(x, prepend=U(0)).tobytes()
+
+
+def _undeltas(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, U), dtype=U)
 
 
 def dealt(docs: DataFrame, words: dict) -> DataFrame:
@@ -156,11 +174,11 @@ def dealt(docs: DataFrame, words: dict) -> DataFrame:
                 blobs = []
                 for x, y in ((a, m), (m, b)):
                     _, first, many = _groups(row[x:y])
-                    blobs.append((row[x:y][first] << U(1) | train[x:y][first], many))
+                    blobs.append(_packed(row[x:y][first] << U(1) | train[x:y][first], many))
                 rows = np.concatenate([blobs[0][0], blobs[1][0]])
-                lens = np.concatenate([[len(blobs[0][0])], blobs[0][1], blobs[1][1]]).astype(np.uint32)
+                head = np.array([len(blobs[0][0])], np.uint32).tobytes()
                 wide = np.ascontiguousarray(word[m:b]).view(np.uint8).reshape(-1, 8)[:, :6]
-                out.append((i, 0, rows.tobytes(), lens.tobytes(), ctx[a:b].astype(np.uint16).tobytes(), word[a:m].astype(np.uint16).tobytes(), wide.tobytes()))
+                out.append((i, 0, _deltas(rows), head + blobs[0][1].tobytes() + blobs[1][1].tobytes(), ctx[a:b].astype(np.uint16).tobytes(), word[a:m].astype(np.uint16).tobytes(), wide.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
         for batch in slices(batches):
@@ -207,14 +225,13 @@ def dealt(docs: DataFrame, words: dict) -> DataFrame:
                 continue
             front, back = [[], [], []], [[], [], []]  # rows, counts and contexts of frequent and of rare words
             for rows, lens, ctx, word, _ in pairs:
-                rows, lens, ctx = np.frombuffer(rows, U), np.frombuffer(lens, np.uint32), np.frombuffer(ctx, np.uint16)
-                n, m = int(lens[0]), len(word) // 2
-                for out, x in ((front, (rows[:n], lens[1 : n + 1], ctx[:m])), (back, (rows[n:], lens[n + 1 :], ctx[m:]))):
+                n, m = int(np.frombuffer(lens[:4], np.uint32)[0]), len(word) // 2
+                rows, lens, ctx = _undeltas(rows), np.frombuffer(lens[4:], np.uint16), np.frombuffer(ctx, np.uint16)
+                for out, x in ((front, (rows[:n], lens[:n], ctx[:m])), (back, (rows[n:], lens[n:], ctx[m:]))):
                     for o, v in zip(out, x):
                         o.append(v)
             rows, lens, ctx = (np.concatenate([*f, *b]) for f, b in zip(front, back))
-            lens = np.concatenate([[sum(map(len, front[0]))], lens]).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in (rows.tobytes(), lens.tobytes(), ctx.tobytes(), b"".join(p[3] for p in pairs), b"".join(p[4] for p in pairs)))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in (_deltas(rows), lens.tobytes(), ctx.tobytes(), b"".join(p[3] for p in pairs), b"".join(p[4] for p in pairs)))], names)
 
     sent = docs.mapInArrow(send, SENT)
     return written(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, SENT), "lm-pairs")
@@ -225,16 +242,18 @@ class Bucket:
 
     def __init__(self, row: list):
         _, _, rows, lens, ctx, word, rare = row
-        rows, lens = np.frombuffer(rows, U), np.frombuffer(lens, np.uint32)
-        n, lens = int(lens[0]), lens[1:].astype(np.int64)
+        self.entries, self.lens = _undeltas(rows), np.frombuffer(lens, np.uint16)
         word = np.frombuffer(word, np.uint16)
         wide = np.zeros((len(rare) // 6, 8), np.uint8)
         wide[:, :6] = np.frombuffer(rare, np.uint8).reshape(-1, 6)
         self.rare_words, local = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-        self.row, train = np.repeat(rows >> U(1), lens), np.repeat((rows & U(1)).astype(bool), lens)
+        train = np.repeat((self.entries & U(1)).astype(bool), self.lens)
         code = np.concatenate([word.astype(np.int64), CONTEXTS + local])  # frequent words by number, rare ones behind them
         key = code << 16 | np.frombuffer(ctx, np.uint16)
-        self.keys, self.pair = np.unique(key, return_inverse=True)
+        del local, code, wide
+        self.keys, pair = np.unique(key, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        del key, pair
         self.count = np.bincount(self.pair[train], minlength=len(self.keys)).astype(np.int64)
         self.context, self.word = self.keys & 0xFFFF, self.keys >> 16
         self.rare = self.word >= CONTEXTS
@@ -383,7 +402,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 1, samples
                 if kind:
                     rows = np.frombuffer(batch.column(2)[i].as_py(), DOC)
                     key = (mix64(rows["row"]) % U(buckets)).astype(np.int32)
-                    blobs = [(int(k), rows[key == k].tobytes(), None) for k in np.unique(key)]
+                    blobs = [(int(k), rows[key == k].tobytes(), *[None] * 4) for k in np.unique(key)]
                 else:
                     b = Bucket([batch.column(c)[i].as_py() for c in range(7)])
                     p = np.zeros(len(b.keys))
@@ -396,27 +415,28 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 1, samples
                     logs = np.log10(p / len(states.value))
                     known = np.zeros(len(b.keys), np.int64)
                     known[b.rare] = b.seen[b.local]
-                    order, first, size = _groups(b.row)
-                    pair = b.pair[order]
-                    rows = np.zeros(len(first), PART)
-                    rows["row"] = b.row[order][first]
-                    rows["score"] = np.add.reduceat(logs[pair], first)
-                    rows["known"] = np.add.reduceat((known[pair] > 0).astype(np.int64), first)
-                    rows["base"] = np.add.reduceat(np.log10(known[pair] + 1.0), first)
-                    key = (mix64(rows["row"]) % U(buckets)).astype(np.int32)
+                    flat = np.log10(known + 1.0)
+                    some = np.flatnonzero(b.lens)  # entries of documents, each with its tokens side by side
+                    first = np.cumsum(b.lens, dtype=np.int64)[some] - b.lens[some]
+                    row, at = np.unique(b.entries[some] >> U(1), return_inverse=True)
+                    rows = np.zeros(len(row), PART)
+                    rows["score"] = np.bincount(at, np.add.reduceat(logs[b.pair], first), len(row))
+                    rows["known"] = np.bincount(at, np.add.reduceat((known > 0).astype(np.int64)[b.pair], first), len(row))
+                    rows["base"] = np.bincount(at, np.add.reduceat(flat[b.pair], first), len(row))
+                    key = (mix64(row) % U(buckets)).astype(np.int32)
                     order = np.argsort(key, kind="stable")
                     edges = np.searchsorted(key[order], np.arange(buckets + 1))
-                    blobs = [(k, None, rows[order[x:y]].tobytes()) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blobs], pa.int32()), pa.array([x[1] for x in blobs], pa.binary()), pa.array([x[2] for x in blobs], pa.binary())], ["bucket", "docs", "parts"])
+                    blobs = [(k, None, _deltas(row[order[x:y]]), *(rows[c][order[x:y]].tobytes() for c in PART.names)) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blobs], pa.int32()), *(pa.array([x[c] for x in blobs], pa.binary()) for c in range(1, 6))], ["bucket", "docs", "rows", *PART.names])
 
     n_train, n_types = words["tokens"], words["types"]
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held_ in _by_bucket(batches):
-            d, p = _joined(held_, 1, DOC), _joined(held_, 2, PART)
-            order = np.argsort(d["row"])
-            d = d[order]
-            at = np.searchsorted(d["row"], p["row"])
+            d = _joined(held_, 1, DOC)
+            d = d[np.argsort(d["row"])]
+            at = np.searchsorted(d["row"], np.concatenate([np.zeros(0, U), *(_undeltas(x) for b in held_ for x in b.column(2).to_pylist() if x is not None)]))
+            p = {c: _joined(held_, 3 + i, PART[c]) for i, c in enumerate(PART.names)}
             known = d["known"] + np.bincount(at, p["known"], len(d)).astype(np.int64)
             base_sum = d["base"] + np.bincount(at, p["base"], len(d))
             own = np.bincount(at, p["score"], len(d))
@@ -425,6 +445,6 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 1, samples
             cols = [ids, pa.array(d["train"] == 0), pa.array(d["n"].copy()), pa.array(known), pa.array(np.full(len(d), n_train, np.int64)), pa.array(flat), pa.array(own), pa.array(10 ** (-own / d["n"]))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    sent = pairs.mapInArrow(judge, "bucket int, docs binary, parts binary")
+    sent = pairs.mapInArrow(judge, "bucket int, docs binary, rows binary, known binary, score binary, base binary")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(total, schema)
