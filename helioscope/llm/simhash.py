@@ -46,11 +46,11 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
     return [digest(whole[a : b - 1], seed) for a, b in zip(starts, starts[words:])]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bit b is set if it is set in over half of the hashes; zero for none."""
-    if not hashes:
+    if len(hashes) == 0:
         return 0
-    rows = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+    rows = np.asarray(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
     ones = np.unpackbits(rows, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 

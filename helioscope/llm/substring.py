@@ -149,89 +149,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     return out.select("doc_id", "kept", "n_words", "n_removed", "removed", *(F.col(a).alias(b) for a, b in zip(carried, carry)))
 
 
-def digests(self, content: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words = mix64(content.astype(U) + U(1))
-        return mix64(self._hash(words, self.window, 2))[starts], mix64(self._hash(words, self.window, 3))[starts]
-
-
-def tree_levels(content: np.ndarray, starts: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes at `starts` that lie below an internal node at `depth` with two documents or more, and the least document of each one's node.
-
-    One level takes two words: a node's suffixes are ordered by (node, next two
-    words), and only nodes with two documents grow further.
-    """
-    alive, node, at = np.arange(len(starts)), np.zeros(len(starts), U), 0
-    while len(alive) and at < depth:
-        step = min(2, depth - at)
-        nxt = content[starts[alive] + at].astype(U)
-        if step == 2:
-            nxt = nxt << U(32) | content[starts[alive] + at + 1].astype(U)
-        order = np.lexsort((nxt, node))
-        node, nxt, alive = node[order], nxt[order], alive[order]
-        first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (nxt[1:] != nxt[:-1])))
-        size = np.diff(np.append(first, len(alive)))
-        low, high = np.minimum.reduceat(doc[alive], first), np.maximum.reduceat(doc[alive], first)
-        grows = low < high
-        keep = np.repeat(grows, size)
-        alive, node = alive[keep], np.repeat(np.arange(int(grows.sum()), dtype=U), size[grows])
-        least = np.repeat(low[grows], size[grows])
-        at += step
-    return alive, (least if len(alive) else np.zeros(0, np.int64))
-
-
-def resolver(window: int):
-    def resolve(x: dict[str, np.ndarray]) -> np.ndarray:
-        """A flag for each window of these runs: another run has it in a document with a smaller id."""
-        starts = ragged(x["at"], x["windows"])
-        doc = np.repeat(x["doc"], x["windows"])
-        flags = np.zeros(len(starts), bool)
-        alive, least = tree_levels(x["content"], starts, doc, window)
-        flags[alive] = doc[alive] > least
-        return flags
-
-    return resolve
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, kept string, n_words, n_removed, removed array<struct<first:bigint,last:bigint>>) of each row.
-
-    A word goes if a window that covers it also starts in a document with a
-    smaller doc_id, judged on the input. kept joins the other words by one
-    space; removed has the ranges of removed words. Rows that repeat a doc_id
-    are one document in this: neither removes from the other. A null doc_id
-    counts as greater than all others. Null and empty texts have no words.
-    carry: columns of docs that come along.
-    """
-    units = Words(window, crowd=crowd)
-    base = keyed(docs.withColumn(id_col, F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))), id_col, text_col, carry)
-    spans = repeated(base.select("doc_id", "text", "row"), units, False, resolver(window), resolver(window), True)
-    carried = [f"carried_{i}" for i in range(len(carry))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        for batch in slices(batches):
-            kept, sizes, gone, where = [], [], [], []
-            for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = text.encode().split()
-                sizes.append(len(words))
-                if not blobs:
-                    kept.append(b" ".join(words).decode())
-                    gone.append(0)
-                    where.append([])
-                    continue
-                off = covered(blobs, len(words), window)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], off.view(np.int8), [0]]))).reshape(-1, 2)
-                kept.append(b" ".join([w for w, x in zip(words, off.tolist()) if not x]).decode())
-                gone.append(int(off.sum()))
-                where.append([{"first": a, "last": b - 1} for a, b in edges.tolist()])
-            ids = batch.column(0)
-            ids = pa.array([None if i == LAST else i for i in ids.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(where, ranges), *batch.columns[3:]], ["doc_id", "kept", "n_words", "n_removed", "removed", *carried])
-
-    joined = base.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id bigint, kept string, n_words bigint, n_removed bigint, removed array<struct<first:bigint,last:bigint>>")
-
-
 def digests(found: DataFrame) -> DataFrame:
     """The columns of the query op5."""
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
