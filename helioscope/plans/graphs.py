@@ -1 +1,91 @@
-"""x"""
+"""Graph operators over the customers and suppliers that share orders and nations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helioscope.operators import cluster, graph
+from helioscope.plans.registry import query
+from helioscope.session import load
+
+EDGES = "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 48"
+BOTH = f"SELECT src, dst FROM ({EDGES}) UNION SELECT dst, src FROM ({EDGES})"
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    o, l = load(spark, d, "orders"), load(spark, d, "lineitem").where("l_quantity >= 48")
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (1000000 + F.col("l_suppkey")).alias("dst")).distinct()
+
+
+@query(f"SELECT src AS id, count(*) AS degree FROM ({BOTH}) GROUP BY ALL")
+def graph_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(edges(spark, d))
+
+
+@query(f"""WITH e AS ({BOTH}), g AS (SELECT src, count(*) AS k FROM e GROUP BY src), p AS (SELECT DISTINCT src AS a, 1000001 AS b FROM e WHERE src > 1000001),
+    c AS (SELECT p.a, p.b, count(*) AS n FROM p JOIN e x ON x.src = p.a JOIN e y ON y.src = p.b AND y.dst = x.dst GROUP BY ALL)
+    SELECT p.a, p.b, coalesce(n, 0) AS common, round(coalesce(n, 0) / (ga.k + coalesce(gb.k, 0) - coalesce(n, 0)), 6) AS jaccard FROM p LEFT JOIN c USING (a, b) JOIN g ga ON ga.src = p.a LEFT JOIN g gb ON gb.src = p.b""")
+def graph_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    p = e.select(F.col("dst").alias("a"), F.lit(1000001).cast("bigint").alias("b")).distinct().where("a > 1000001")
+    return graph.common_neighbours(e, p).select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"""WITH RECURSIVE e AS ({BOTH}), r(id, c) USING KEY (id) AS (SELECT src, min(least(src, dst)) FROM e GROUP BY src UNION SELECT e.src, min(x.c) FROM r x JOIN e ON e.dst = x.id JOIN recurring.r o ON o.id = e.src WHERE x.c < o.c GROUP BY e.src)
+    SELECT id, c AS component FROM r""")
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.connected_components(edges(spark, d))
+
+
+@query()
+def k_core(spark: SparkSession, d: str) -> DataFrame:
+    return graph.k_core(edges(spark, d), 3)
+
+
+@query()
+def label_propagation(spark: SparkSession, d: str) -> DataFrame:
+    return graph.label_propagation(edges(spark, d), 3)
+
+
+@query()
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return graph.pagerank(edges(spark, d), 5)
+
+
+@query(f"""WITH e AS ({EDGES}), l AS (SELECT src AS id, src % 5 AS label FROM ({BOTH}) GROUP BY ALL), m AS (SELECT count(*) AS m FROM e), i AS (SELECT count(*) AS w FROM e JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE a.label = b.label),
+    k AS (SELECT label, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) JOIN l USING (id) GROUP BY label) SELECT round(max(w / m) - sum(power(k / (2 * m), 2)), 6) AS modularity FROM k, m, i""")
+def modularity(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    l = graph.symmetric(e).select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id") % 5)
+    return graph.modularity(e, l).select(F.round("modularity", 6).alias("modularity"))
+
+
+NATIONS = "SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND c_nationkey <> s_nationkey"
+
+
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "customer").join(load(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    l = load(spark, d, "lineitem").where("l_quantity = 50").join(load(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).where("src <> dst").distinct()
+
+
+@query(f"""WITH d AS ({NATIONS}), e AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d) SELECT a.src AS id, count(*) // 2 AS triangles FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src GROUP BY ALL""")
+def triangles(spark: SparkSession, d: str) -> DataFrame:
+    return graph.triangles(nations(spark, d))
+
+
+@query(f"""WITH d AS ({NATIONS}), e AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d) SELECT round(count(*) / (count(DISTINCT src) * (count(DISTINCT src) - 1)), 6) AS density FROM e""")
+def graph_density(spark: SparkSession, d: str) -> DataFrame:
+    return graph.density(nations(spark, d)).select(F.round("density", 6).alias("density"))
+
+
+@query()
+def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.kmeans(load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")), 8, 5)
+
+
+@query()
+def dbscan_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("x"), (F.col("s_nationkey") * 4.0).alias("y"))
+    return cluster.dbscan(s, 6.0, 3)
