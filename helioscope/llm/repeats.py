@@ -330,7 +330,7 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, local: Resolve, resolve:
         for batch in slices(batches, "text"):
             units, lens = u.cut(batch.column(1).to_pylist())
             got = runs_of(u, units, lens)
-            row, doc = batch.column(2).to_numpy().view(U), batch.column(0).to_numpy()
+            row, doc = batch.column(2).to_numpy().view(U), batch.column(0).fill_null(0).to_numpy()
             told = [np.frombuffer(x, U) for x in batch.column(3).to_pylist()]
             many = np.fromiter(map(len, told), np.int64, len(told))
             flat = np.concatenate(told) if told else np.zeros(0, U)
