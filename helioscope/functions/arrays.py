@@ -54,7 +54,7 @@ def normalize(a: Column) -> Column:
 
 def cumsum(a: Column) -> Column:
     zero = F.slice(F.array(F.lit(0.0)), 1, 0)
-    return F.aggregate(a, zero, lambda s, x: F.concat(s, F.array(F.coalesce(F.element_at(s, -1), F.lit(0.0)) + x)))
+    return F.aggregate(a, zero, lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + x)))
 
 
 def diff(a: Column) -> Column:

@@ -23,7 +23,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def kendall(df: DataFrame, x: str, y: str, levels: int = 10_000) -> DataFrame:
     """tau-b from the table of distinct (x, y): at most `levels` distinct pairs, which are joined with themselves."""
-    t = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    t = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     if t.limit(levels + 1).count() > levels:
         raise ValueError(f"more than {levels} distinct pairs: bin the values first")
     a, b = t.alias("a"), F.broadcast(t).alias("b")
