@@ -163,7 +163,7 @@ def dealt(docs: DataFrame, words: dict) -> DataFrame:
             row, train, ctx, word, own = (np.concatenate(c) for c in zip(*held))
             key = np.where(own, (word * U(0x9E3779B97F4A7C15)) ^ mix64(ctx.astype(U)), word)
             bucket = (mix64(key) % U(buckets)).astype(np.int64)
-            order = np.lexsort((word, row, ~own, bucket))
+            order = np.argsort(bucket << 41 | (~own).astype(np.int64) << 40 | (row - row[0]).astype(np.int64), kind="stable")
             row, train, ctx, word, own, bucket = (c[order] for c in (row, train, ctx, word, own, bucket))
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             out = []
