@@ -59,9 +59,9 @@ def sessions(df: DataFrame, ts: str, gap: float, by: list[str] = ()) -> DataFram
 
 
 def block_maxima(df: DataFrame, value: str, size: int, order_by: list[str], by: list[str] = ()) -> DataFrame:
-    """Maximum of each block of `size` consecutive rows; a last, shorter block counts too."""
+    """Maximum of each full block of `size` consecutive rows; what is left over at the end is dropped."""
     block = F.floor((F.row_number().over(ordered(order_by, by)) - 1) / size)
-    return df.withColumn("block", block).groupBy(*by, "block").agg(F.max(value).alias("maximum"), F.count(F.lit(1)).alias("n"))
+    return df.withColumn("block", block).groupBy(*by, "block").agg(F.max(value).alias("maximum"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
 
 
 def nelson_aalen(df: DataFrame, duration: str, event: str) -> DataFrame:

@@ -130,7 +130,7 @@ def peak_demand_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT l_suppkey, l_extendedprice, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 20 AS block FROM lineitem)
-    SELECT l_suppkey, CAST(block AS BIGINT) AS block, max(l_extendedprice) AS maximum, count(*) AS n FROM n GROUP BY ALL""")
+    SELECT l_suppkey, CAST(block AS BIGINT) AS block, max(l_extendedprice) AS maximum, count(*) AS n FROM n GROUP BY ALL HAVING count(*) = 20""")
 def block_maxima(spark: SparkSession, d: str) -> DataFrame:
     return W.block_maxima(load(spark, d, "lineitem"), "l_extendedprice", 20, ["l_orderkey", "l_linenumber"], ["l_suppkey"])
 
