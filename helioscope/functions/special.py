@@ -52,19 +52,27 @@ def comb(n: Column, k: Column) -> Column:
     return F.round(F.exp(gammaln(n + 1) - gammaln(k + 1) - gammaln(n - k + 1)))
 
 
+def _poly(coefs: list[float], x: Column) -> Column:
+    """Sum of coefs[n] * x^n by Horner's rule: the expression grows with the number of terms only."""
+    out = F.lit(coefs[-1])
+    for c in reversed(coefs[:-1]):
+        out = out * x + c
+    return out
+
+
+def _iterate(start: Column, steps: int, step) -> Column:
+    """start, step(start), ... `steps` times; the lambda variable keeps the expression from repeating itself."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: step(s))
+
+
 def erf(x: Column, terms: int = 60) -> Column:
     """Error function: its power series up to 3 in size, a continued fraction beyond."""
     a = F.abs(x)
-    square = a * a
-    term, total = a, a
-    for n in range(1, terms):
-        term = -term * square / n
-        total = total + term / (2 * n + 1)
-    near = total * (2 / math.sqrt(math.pi))
+    near = a * _poly([(-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(terms)], F.least(a * a, F.lit(9.0))) * (2 / math.sqrt(math.pi))
     tail = a
     for k in range(40, 0, -1):
         tail = a + (k / 2) / tail
-    far = 1 - F.exp(-square) / (tail * math.sqrt(math.pi))
+    far = 1 - F.exp(-a * a) / (tail * math.sqrt(math.pi))
     return F.signum(x) * F.when(a < 3, near).otherwise(far)
 
 
@@ -114,10 +122,8 @@ def erfinv(y: Column, steps: int = 3) -> Column:
     a = 0.147
     t = F.ln(1 - y * y)
     u = 2 / (math.pi * a) + t / 2
-    x = F.signum(y) * F.sqrt(F.sqrt(u * u - t / a) - u)
-    for _ in range(steps):
-        x = x - (erf(x) - y) / (2 / math.sqrt(math.pi) * F.exp(-x * x))
-    return x
+    first = F.signum(y) * F.sqrt(F.sqrt(u * u - t / a) - u)
+    return _iterate(first, steps, lambda x: x - (erf(x) - y) / (2 / math.sqrt(math.pi) * F.exp(-x * x)))
 
 
 def normal_quantile(p: Column) -> Column:
@@ -126,53 +132,40 @@ def normal_quantile(p: Column) -> Column:
 
 def lambert_w(x: Column, steps: int = 8) -> Column:
     """Principal branch for x >= 0, by Halley steps from log1p."""
-    w = F.log1p(x)
-    for _ in range(steps):
-        e = F.exp(w)
-        f = w * e - x
-        w = w - f / (e * (w + 1) - (w + 2) * f / (2 * w + 2))
-    return w
-
-
-def _agm(m: Column, steps: int = 6) -> tuple[Column, Column]:
-    """Arithmetic-geometric mean for parameter m, and the sum that the second integral needs."""
-    a, b, c2, total, weight = F.lit(1.0), F.sqrt(1 - m), m, m / 2, 0.5
-    for _ in range(steps):
-        nxt = (a + b) / 2
-        c = (a - b) / 2
-        b = F.sqrt(a * b)
-        a = nxt
-        weight *= 2
-        total = total + weight * c * c
-    return a, total
+    def halley(w: Column) -> Column:
+        f = w * F.exp(w) - x
+        return w - f / (F.exp(w) * (w + 1) - (w + 2) * f / (2 * w + 2))
+
+    return _iterate(F.log1p(x), steps, halley)
+
+
+def _agm(m: Column, steps: int = 6) -> Column:
+    """struct: arithmetic-geometric mean for parameter m, and the sum that the second integral needs."""
+    start = F.struct(F.lit(1.0).alias("a"), F.sqrt(1 - m).alias("b"), (m / 2).alias("total"), F.lit(0.5).cast("double").alias("weight"))
+
+    def step(s: Column) -> Column:
+        c = (s["a"] - s["b"]) / 2
+        return F.struct(((s["a"] + s["b"]) / 2).alias("a"), F.sqrt(s["a"] * s["b"]).alias("b"), (s["total"] + s["weight"] * 2 * c * c).alias("total"), (s["weight"] * 2).alias("weight"))
+
+    return _iterate(start, steps, step)
 
 
 def ellipk(m: Column) -> Column:
-    return math.pi / (2 * _agm(m)[0])
+    return math.pi / (2 * _agm(m)["a"])
 
 
 def ellipe(m: Column) -> Column:
-    a, total = _agm(m)
-    return math.pi / (2 * a) * (1 - total)
+    s = _agm(m)
+    return math.pi / (2 * s["a"]) * (1 - s["total"])
 
 
 def bessel_j0(x: Column, terms: int = 40) -> Column:
     """Power series, for sizes up to about 12."""
-    q = -(x * x) / 4
-    term, total = F.lit(1.0), F.lit(1.0)
-    for k in range(1, terms):
-        term = term * q / (k * k)
-        total = total + term
-    return total
+    return _poly([(-1) ** k / (4.0**k * math.factorial(k) ** 2) for k in range(terms)], x * x)
 
 
 def bessel_i0(x: Column, terms: int = 40) -> Column:
-    q = x * x / 4
-    term, total = F.lit(1.0), F.lit(1.0)
-    for k in range(1, terms):
-        term = term * q / (k * k)
-        total = total + term
-    return total
+    return _poly([1 / (4.0**k * math.factorial(k) ** 2) for k in range(terms)], x * x)
 
 
 def safe_divide(a: Column, b: Column, default: float | None = None) -> Column:

@@ -22,16 +22,16 @@ def _grouped(df: DataFrame, by: list[str], fn, out: str) -> DataFrame:
 
 
 def spectrum(df: DataFrame, value: str, at: str, by: list[str]) -> DataFrame:
-    """(k, power) of the real FFT."""
+    """(frequency, power) of the real FFT."""
     def fn(pdf):
         x = pdf.sort_values(at)[value].to_numpy(float)
         return [(k, float(p)) for k, p in enumerate(np.abs(np.fft.rfft(x)) ** 2)]
 
-    return _grouped(df, by, fn, "k bigint, power double")
+    return _grouped(df, by, fn, "frequency bigint, power double")
 
 
 def haar(df: DataFrame, value: str, at: str, by: list[str], levels: int) -> DataFrame:
-    """(level, k, detail): Haar wavelet coefficients; an odd last value is repeated."""
+    """(level, position, detail): Haar wavelet coefficients; an odd last value is repeated."""
     def fn(pdf):
         x, rows = pdf.sort_values(at)[value].to_numpy(float), []
         for level in range(1, levels + 1):
@@ -43,7 +43,7 @@ def haar(df: DataFrame, value: str, at: str, by: list[str], levels: int) -> Data
             x = (x[::2] + x[1::2]) / np.sqrt(2)
         return rows
 
-    return _grouped(df, by, fn, "level int, k bigint, detail double")
+    return _grouped(df, by, fn, "level int, position bigint, detail double")
 
 
 def ar_fit(df: DataFrame, value: str, at: str, by: list[str], order: int, steps: int) -> DataFrame:

@@ -19,13 +19,13 @@ def lit(x):
     return F.lit(float(x))
 
 
-@pytest.mark.parametrize("column,want", [
-    (S.digamma(lit(1)), -0.5772156649), (S.digamma(lit(4.5)), 1.3888709264), (S.beta(lit(2), lit(3)), 1 / 12), (S.factorial(lit(6)), 720), (S.perm(lit(5), lit(2)), 20), (S.comb(lit(10), lit(3)), 120),
-    (S.erfinv(lit(0.5)), 0.4769362762), (S.normal_quantile(lit(0.975)), 1.9599639845), (S.lambert_w(lit(1)), 0.5671432904), (S.ellipk(lit(0.5)), 1.8540746773), (S.ellipe(lit(0.5)), 1.3506438810),
-    (S.bessel_j0(lit(2.5)), -0.0483837765), (S.bessel_i0(lit(1.5)), 1.6467231898), (S.sinc(lit(0.5)), 2 / math.pi), (S.softplus(lit(0)), math.log(2)),
-])
-def test_special_values(spark, column, want):
-    assert value(spark, column) == pytest.approx(want, abs=1e-8)
+def test_special_values(spark):
+    for column, want in [
+        (S.digamma(lit(1)), -0.5772156649), (S.digamma(lit(4.5)), 1.3888709264), (S.beta(lit(2), lit(3)), 1 / 12), (S.factorial(lit(6)), 720), (S.perm(lit(5), lit(2)), 20), (S.comb(lit(10), lit(3)), 120),
+        (S.erfinv(lit(0.5)), 0.4769362762), (S.normal_quantile(lit(0.975)), 1.9599639845), (S.lambert_w(lit(1)), 0.5671432904), (S.ellipk(lit(0.5)), 1.8540746773), (S.ellipe(lit(0.5)), 1.3506438810),
+        (S.bessel_j0(lit(2.5)), -0.0483837765), (S.bessel_i0(lit(1.5)), 1.6467231898), (S.sinc(lit(0.5)), 2 / math.pi), (S.softplus(lit(0)), math.log(2)),
+    ]:
+        assert value(spark, column) == pytest.approx(want, abs=1e-8)
 
 
 @pytest.mark.parametrize("name,params,low,high", [
@@ -89,7 +89,7 @@ def wave(spark):
 
 def test_series(wave):
     df, x = wave
-    got = {r["k_"]: r["power"] for r in series.spectrum(df.withColumnRenamed("k", "g"), "v", "t", ["g"]).withColumnRenamed("k", "k_").collect()}
+    got = {r["frequency"]: r["power"] for r in series.spectrum(df, "v", "t", ["k"]).collect()}
     assert got[10] == pytest.approx(abs(np.fft.rfft(x)[10]) ** 2)
     future = 5 + 0.1 * np.arange(120, 126) + 3 * np.sin(2 * np.pi * np.arange(120, 126) / 12)
     for f in (series.ar_fit(df, "v", "t", ["k"], 4, 6), series.holt_winters(df, "v", "t", ["k"], 12, 6)):
@@ -98,7 +98,7 @@ def test_series(wave):
     line = df.withColumn("v", F.col("t") * 2.0 + 1)
     assert [r["smoothed"] for r in series.savgol(line, "v", "t", ["k"], 7, 2).orderBy("t").collect()] == pytest.approx((2.0 * np.arange(120) + 1).tolist())
     assert series.permutation_entropy(line, "v", "t", ["k"]).first()["entropy"] == 0
-    assert {r["detail"] for r in series.haar(line, "v", "t", ["k"], 1).collect()} == {pytest.approx(-math.sqrt(2))}
+    assert [r["detail"] for r in series.haar(line, "v", "t", ["k"], 1).collect()] == pytest.approx([-math.sqrt(2)] * 60)
 
 
 def test_text_models(spark):
