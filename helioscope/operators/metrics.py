@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helioscope.operators.prefix import running
+
+
+def _counts(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
+    """Positives and negatives at each score."""
+    return df.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) > 0.5, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) > 0.5, 0).otherwise(1)).alias("_n"))
+
 
 def roc_curve(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at each distinct score, the highest first. Labels over 0.5 are positive. Counted by score before the window."""
-    c = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) > 0.5, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) > 0.5, 0).otherwise(1)).alias("_n"))
+    c = _counts(df, label, score, by)
+    if not by:
+        x = running(c, "threshold", ["_p", "_n"], descending=True)
+        return x.select("threshold", F.col("run__p").alias("tp"), F.col("run__n").alias("fp"), F.try_divide("run__p", "total__p").alias("tpr"), F.try_divide("run__n", "total__n").alias("fpr"))
     run = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     x = c.withColumns({"tp": F.sum("_p").over(run), "fp": F.sum("_n").over(run), "_tp": F.sum("_p").over(whole), "_tn": F.sum("_n").over(whole)})
@@ -16,11 +26,11 @@ def roc_curve(df: DataFrame, label: str, score: str, by: list[str] = ()) -> Data
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area by the trapezoid rule."""
-    r = roc_curve(df, label, score)
-    w = Window.orderBy(F.desc("threshold"))
-    area = (F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))) * (F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2
-    return r.select(area.alias("a")).agg(F.sum("a").alias("auc"))
+    """Area by the trapezoid rule: at each score, the step in false positives times the mean of the true positives before and after it."""
+    c = _counts(df, label, score)
+    x = running(c, "threshold", ["_p", "_n"], descending=True)
+    area = F.col("_n") * (F.col("run__p") - F.col("_p") / 2) / (F.col("total__p") * F.col("total__n"))
+    return x.agg(F.sum(area).alias("auc"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -30,9 +40,9 @@ def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
-    p = pr_curve(df, label, score)
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return p.select((step * F.col("precision")).alias("a")).agg(F.sum("a").alias("average_precision"))
+    x = running(_counts(df, label, score), "threshold", ["_p", "_n"], descending=True)
+    step = F.col("_p") / F.col("total__p") * F.col("run__p") / (F.col("run__p") + F.col("run__n"))
+    return x.agg(F.sum(step).alias("average_precision"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

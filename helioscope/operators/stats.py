@@ -7,10 +7,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helioscope.operators.prefix import running
+
 
 def ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank") -> DataFrame:
     """Average ranks, ties sharing their mean rank. Ranks are counted by distinct value first, so ties don't pile up in the window."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    if not by:
+        return df.join(running(counts, value, ["_n"]).select(value, (F.col("run__n") - (F.col("_n") - 1) / 2).alias(name)), value)
     w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn(name, F.sum("_n").over(w) - (F.col("_n") - 1) / 2).drop("_n")
     return df.join(ranked, [*by, value])
@@ -73,9 +77,7 @@ def ks_two_sample(df: DataFrame, value: str, group: str, first, second) -> DataF
     """Largest distance of two empirical distributions. Counted by distinct value before the window."""
     a, b = (F.sum(F.when(F.col(group) == F.lit(g), 1).otherwise(0)) for g in (first, second))
     c = df.where(F.col(group).isin(first, second)).groupBy(value).agg(a.alias("a"), b.alias("b"))
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    d = c.select(F.abs(F.sum("a").over(run) / F.sum("a").over(whole) - F.sum("b").over(run) / F.sum("b").over(whole)).alias("d"))
+    d = running(c, value, ["a", "b"]).select(F.abs(F.col("run_a") / F.col("total_a") - F.col("run_b") / F.col("total_b")).alias("d"))
     return d.agg(F.max("d").alias("ks"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helioscope.operators.prefix import running
+
 
 def ordered(order_by: list[str], by: list[str] = ()):
     return Window.partitionBy(*by).orderBy(*order_by)
@@ -64,23 +66,23 @@ def block_maxima(df: DataFrame, value: str, size: int, order_by: list[str], by:
     return df.withColumn("block", block).groupBy(*by, "block").agg(F.max(value).alias("maximum"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
 
 
-def nelson_aalen(df: DataFrame, duration: str, event: str) -> DataFrame:
-    """(duration, at_risk, events, hazard): cumulative hazard of durations with event 1 and censored ones with 0. Deaths and risks are counted by duration first, so the window runs over distinct durations."""
+def _at_risk(df: DataFrame, duration: str, event: str) -> DataFrame:
+    """(duration, events, at_risk) by distinct duration."""
     counts = df.groupBy(duration).agg(F.sum(F.col(event).cast("long")).alias("events"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(duration)
-    risk = F.sum("n").over(Window.orderBy(F.desc(duration)).rowsBetween(Window.unboundedPreceding, 0))
-    ready = counts.withColumn("at_risk", risk)
-    return ready.withColumn("hazard", F.sum(F.col("events") / F.col("at_risk")).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(duration, "at_risk", "events", "hazard")
+    return running(counts, duration, ["n"], descending=True).select(duration, "events", F.col("run_n").alias("at_risk"))
+
+
+def nelson_aalen(df: DataFrame, duration: str, event: str) -> DataFrame:
+    """(duration, at_risk, events, hazard): cumulative hazard of durations with event 1 and censored ones with 0."""
+    steps = _at_risk(df, duration, event).withColumn("step", F.col("events") / F.col("at_risk"))
+    return running(steps, duration, ["step"]).select(duration, "at_risk", "events", F.col("run_step").alias("hazard"))
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str) -> DataFrame:
-    """(duration, at_risk, events, survival)."""
-    counts = df.groupBy(duration).agg(F.sum(F.col(event).cast("long")).alias("events"), F.count(F.lit(1)).alias("n"))
-    ready = counts.withColumn("at_risk", F.sum("n").over(Window.orderBy(F.desc(duration)).rowsBetween(Window.unboundedPreceding, 0)))
+    """(duration, at_risk, events, survival): products as sums of logarithms, zero from where all at risk have the event."""
     factor = 1 - F.col("events") / F.col("at_risk")
-    run = Window.orderBy(duration).rowsBetween(Window.unboundedPreceding, 0)
-    dead = F.max(F.when(factor <= 0, 1).otherwise(0)).over(run)
-    return ready.withColumn("survival", F.when(dead == 1, 0.0).otherwise(F.exp(F.sum(F.when(factor > 0, F.ln(factor))).over(run)))).select(duration, "at_risk", "events", "survival")
+    steps = _at_risk(df, duration, event).withColumns({"log": F.when(factor > 0, F.ln(factor)).otherwise(0.0), "dead": F.when(factor <= 0, 1).otherwise(0)})
+    return running(steps, duration, ["log", "dead"]).select(duration, "at_risk", "events", F.when(F.col("run_dead") > 0, 0.0).otherwise(F.exp("run_log")).alias("survival"))
 
 
 def folded(df: DataFrame, value: str, order_by: list[str], by: list[str]) -> DataFrame:
