@@ -15,8 +15,17 @@ def words(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, joined by a space; empty if there are fewer."""
-    last = F.size(tokens) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    last = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), last)
+    for k in range(2, n + 1):  # shifted copies side by side
+        out = F.zip_with(out, F.slice(tokens, F.lit(k), last), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
+
+
+def neighbours(tokens: Column) -> Column:
+    """array<struct<a,b>> of each token and the next one."""
+    last = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), last), F.slice(tokens, F.lit(2), last), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
 
 
 def char_ngrams(text: Column, n: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helioscope.functions import text as T
+from helioscope.operators.graph import cut
 from helioscope.plans.registry import query
 from helioscope.session import load
 
@@ -26,6 +27,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 def tfidf_summary(spark: SparkSession, d: str) -> DataFrame:
     t = tokens(spark, d)
     c = t.select("doc_id", F.explode("w").alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    c = cut(c)
     f = c.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n = F.broadcast(t.agg(F.count(F.lit(1)).alias("n")))
     w = F.col("tf") * F.ln((1 + F.col("n")) / (1 + F.col("df")))
@@ -47,8 +49,7 @@ def skip_grams(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS ({WORDS}), p AS (SELECT unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: struct_pack(a := w[i], b := w[i + 1])) ELSE [] END) AS p FROM t), c AS (SELECT p.a AS a, p.b AS b, count(*) AS n FROM p GROUP BY ALL),
     m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS s FROM c) SELECT a, b, n, round(ln(n * s / (na * nb)), 5) AS pmi FROM m WHERE n >= 5""")
 def collocations(spark: SparkSession, d: str) -> DataFrame:
-    pairs = tokens(spark, d).select(F.explode(T.ngrams(F.col("w"), 2)).alias("p")).select(F.split("p", " ").alias("p"))
-    c = pairs.groupBy(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    c = cut(tokens(spark, d).select(F.inline(T.neighbours(F.col("w")))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     na, nb = c.groupBy("a").agg(F.sum("n").alias("na")), c.groupBy("b").agg(F.sum("n").alias("nb"))
     s = F.broadcast(c.agg(F.sum("n").alias("s")))
     x = c.where("n >= 5").join(na, "a").join(nb, "b").crossJoin(s)
