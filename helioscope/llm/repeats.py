@@ -43,6 +43,7 @@ class Units:
     k: int
     content: type
     crowd: int = CROWD
+    slice_bytes: int = 4 << 20
 
     def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units of all texts, one text behind the other, and how many each has."""
@@ -74,6 +75,19 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens - starts, lens)
 
 
+def gather(content: np.ndarray, starts: np.ndarray, lens: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Runs of content one behind the other, copied a piece at a time: indices take eight times the room of bytes."""
+    ends = np.cumsum(lens)
+    out = np.empty(ends[-1] if len(ends) else 0, content.dtype)
+    i = 0
+    while i < len(lens):
+        first = ends[i] - lens[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + piece, "right")))
+        out[first : ends[j - 1]] = content[ragged(starts[i:j], lens[i:j])]
+        i = j
+    return out
+
+
 def runs_of(u: Units, units: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarray]:
     """Runs of a slice: doc (index), start (first window, in the slice), windows, and the anchor's hash."""
     none = np.zeros(0, np.int64)
@@ -200,7 +214,7 @@ def notes(docs: DataFrame, u: Units, same_row: bool) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", u.slice_bytes):
             units, lens = u.cut(batch.column(1).to_pylist())
             got = runs_of(u, units, lens)
             row = batch.column(2).to_numpy().view(U)
@@ -299,7 +313,7 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, local: Resolve, resolve:
                 bucket = (mix64(go["anchor"]) % U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 lens = go["windows"] + (u.window - 1)
-                content = go["content"][ragged(go["at"][order], lens[order])]
+                content = gather(go["content"], go["at"][order], lens[order])
                 ends = np.cumsum(lens[order])
                 own = bucket[order]
                 cuts = np.flatnonzero(np.append(True, np.diff(own) != 0)).tolist()
@@ -327,7 +341,7 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, local: Resolve, resolve:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", u.slice_bytes):
             units, lens = u.cut(batch.column(1).to_pylist())
             got = runs_of(u, units, lens)
             row, doc = batch.column(2).to_numpy().view(U), batch.column(0).fill_null(0).to_numpy()
@@ -351,7 +365,7 @@ def repeated(docs: DataFrame, u: Units, same_row: bool, local: Resolve, resolve:
                 span = got["windows"][i] + u.window - 1
                 x = {
                     "anchor": got["anchor"][i], "row": row[got["doc"][i]], "doc": doc[got["doc"][i]], "start": got["start"][i] - begin[got["doc"][i]],
-                    "windows": got["windows"][i], "content": shipped[ragged(got["start"][i], span)], "at": np.cumsum(span) - span,
+                    "windows": got["windows"][i], "content": gather(shipped, got["start"][i], span), "at": np.cumsum(span) - span,
                 }
                 if is_hot:
                     yield from hot_rows(x)
@@ -407,17 +421,23 @@ def open_runs(x: dict[str, np.ndarray], settled: np.ndarray, first_stays: bool)
     return {c: v[keep] if c != "content" else v for c, v in x.items()}
 
 
-def content_hashes(x: dict[str, np.ndarray]) -> np.ndarray:
-    """A 64-bit hash of each run's anchor and content."""
+def content_hashes(x: dict[str, np.ndarray], piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each run's anchor and content, some runs at a time."""
     ends = np.append(x["at"][1:], len(x["content"]))
     lens = ends - x["at"]
-    place = ragged(np.zeros(len(lens), np.int64), lens).astype(U)
-    mixed = mix64(x["content"].astype(U) + (place << U(32)) * U(0x9E3779B97F4A7C15))
-    return mix64(np.add.reduceat(mixed, x["at"]) ^ x["anchor"] ^ (lens.astype(U) << U(40))) if len(lens) else np.zeros(0, U)
-
-
-def twins(x: dict[str, np.ndarray]) -> np.ndarray:
-    """For each run the first one with the same anchor and content (compared in full), or itself."""
+    out = np.zeros(len(lens), U)
+    i = 0
+    while i < len(lens):
+        j = max(i + 1, int(np.searchsorted(ends, x["at"][i] + piece, "right")))
+        place = ragged(np.zeros(j - i, np.int64), lens[i:j]).astype(U)
+        mixed = mix64(x["content"][x["at"][i] : ends[j - 1]].astype(U) + (place << U(32)) * U(0x9E3779B97F4A7C15))
+        out[i:j] = np.add.reduceat(mixed, x["at"][i:j] - x["at"][i])
+        i = j
+    return mix64(out ^ x["anchor"] ^ (lens.astype(U) << U(40)))
+
+
+def twins(x: dict[str, np.ndarray], piece: int = 1 << 20) -> np.ndarray:
+    """For each run the first one with the same anchor and content (compared in full), or itself. x["at"] rises without gaps."""
     order, first, size = _groups(content_hashes(x))
     out = np.arange(len(order))
     if not len(order):
@@ -428,10 +448,16 @@ def twins(x: dict[str, np.ndarray]) -> np.ndarray:
     lens = np.append(x["at"][1:], len(x["content"])) - x["at"]
     same = (lens[a] == lens[b]) & (x["anchor"][a] == x["anchor"][b])
     a, b = a[same], b[same]
-    if len(a):
-        equal = x["content"][ragged(x["at"][a], lens[a])] == x["content"][ragged(x["at"][b], lens[b])]
-        fine = np.logical_and.reduceat(equal, np.cumsum(lens[a]) - lens[a])
-        out[a[fine]] = b[fine]
+    ends = np.cumsum(lens[a])
+    i = 0
+    while i < len(a):
+        begin = ends[i] - lens[a[i]]
+        j = max(i + 1, int(np.searchsorted(ends, begin + piece, "right")))
+        p, q = a[i:j], b[i:j]
+        equal = x["content"][ragged(x["at"][p], lens[p])] == x["content"][ragged(x["at"][q], lens[q])]
+        fine = np.logical_and.reduceat(equal, ends[i:j] - lens[p] - begin)
+        out[p[fine]] = q[fine]
+        i = j
     return out
 
 

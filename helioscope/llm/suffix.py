@@ -27,7 +27,7 @@ CROWD = 20_000
 #: Bytes of distinct runs that are sorted together, whole groups of an anchor.
 TEXT = 1 << 18
 #: Bytes of sort keys that are held at once.
-KEYS = 128 << 20
+KEYS = 64 << 20
 #: Never a byte of UTF-8, so it parts runs.
 PART = 0xFF
 
@@ -54,6 +54,7 @@ def _doubled(data: np.ndarray, seed: int) -> Iterator[tuple[int, np.ndarray]]:
 
 class Bytes(Units):
     content = np.uint8
+    slice_bytes = 1 << 20  # hashes of every place take 8 bytes each, several times over
 
     def __init__(self, window: int = WINDOW, k: int = GRAM, crowd: int = CROWD):
         self.window, self.k, self.crowd = window, min(k, window), crowd
