@@ -146,3 +146,48 @@ def earliest_arrival(links: DataFrame, source, start: float, rounds: int) -> Dat
         step = links.join(best, links["src"] == best["id"]).where("depart >= arrival").select(F.col("dst").alias("id"), F.col("arrive").cast("double").alias("arrival"))
         best = cut(best.union(step).groupBy("id").agg(F.min("arrival").alias("arrival")))
     return best
+
+
+def link_stream(links: DataFrame) -> DataFrame:
+    """(a, b, contacts, duration, mean_gap) of undirected contacts (src, dst, start, end): gaps are from an end to the next start, where positive."""
+    from pyspark.sql import Window
+
+    p = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "start", "end")
+    gap = F.lead("start").over(Window.partitionBy("a", "b").orderBy("start", "end")) - F.col("end")
+    p = p.withColumn("gap", F.when(gap > 0, gap))
+    return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("contacts"), F.sum(F.col("end") - F.col("start")).alias("duration"), F.avg("gap").alias("mean_gap"))
+
+
+def random_walks(edges: DataFrame, walks: int, length: int, seed: int) -> DataFrame:
+    """(walk, start, path): uniform walks from every node. The next node is the neighbour whose hash with walk and step is least, so it doesn't depend on the partitioning."""
+    s = cut(symmetric(edges))
+    w = s.select(F.col("src").alias("start")).distinct().withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks)))).select("walk", "start", F.array("start").alias("path"), F.col("start").alias("at"))
+    for step in range(length - 1):
+        pick = F.xxhash64(F.lit(seed), F.lit(step), "walk", "start", "dst")
+        nxt = w.join(s, w["at"] == s["src"]).groupBy("walk", "start").agg(F.min(F.struct(pick.alias("h"), "dst")).alias("n"), F.first("path").alias("path"))
+        w = cut(nxt.select("walk", "start", F.concat("path", F.array("n.dst")).alias("path"), F.col("n.dst").alias("at")))
+    return w.select("walk", "start", "path")
+
+
+def hits(edges: DataFrame, rounds: int) -> DataFrame:
+    """(id, hub, authority), each of sum one, after `rounds` rounds."""
+    e = cut(edges.select("src", "dst").distinct())
+    ids = cut(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct())
+    hub = ids.withColumn("hub", F.lit(1.0))
+    for _ in range(rounds):
+        a = e.join(hub, e["src"] == hub["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("x"))
+        auth = cut(a.crossJoin(F.broadcast(a.agg(F.sum("x").alias("t")))).select("id", (F.col("x") / F.col("t")).alias("authority")))
+        h = e.join(auth, e["dst"] == auth["id"]).groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("x"))
+        hub = cut(h.crossJoin(F.broadcast(h.agg(F.sum("x").alias("t")))).select("id", (F.col("x") / F.col("t")).alias("hub")))
+    return ids.join(hub, "id", "left").join(auth, "id", "left").select("id", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
+
+
+def bfs(edges: DataFrame, source, rounds: int) -> DataFrame:
+    """(id, depth) of nodes within `rounds` steps of the source."""
+    s = cut(symmetric(edges))
+    seen = edges.sparkSession.createDataFrame([(source, 0)], f"id {edges.schema['src'].dataType.simpleString()}, depth int")
+    for d in range(1, rounds + 1):
+        edge = seen.where(F.col("depth") == d - 1)
+        new = s.join(edge, s["src"] == edge["id"], "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
+        seen = cut(seen.union(new))
+    return seen

@@ -123,3 +123,77 @@ def winsorized_mean(df: DataFrame, value: str, limit: float, by: list[str]) -> D
 
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def t_one_sample(df: DataFrame, value: str, mean: float) -> DataFrame:
+    x = F.col(value)
+    return df.agg(((F.avg(x) - mean) / (F.stddev_samp(x) / F.sqrt(F.count(x)))).alias("t"), (F.count(x) - 1).alias("df"))
+
+
+def t_paired(df: DataFrame, a: str, b: str) -> DataFrame:
+    return t_one_sample(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("_d")), "_d", 0.0)
+
+
+def levene(df: DataFrame, value: str, group: str, centre: str = "median") -> DataFrame:
+    """Levene's F of absolute deviations from the group's mean, or from its median (Brown-Forsythe)."""
+    c = F.avg(value) if centre == "mean" else F.percentile(value, 0.5)
+    m = df.groupBy(group).agg(c.alias("_c"))
+    return anova(df.join(m, group).withColumn("_z", F.abs(F.col(value) - F.col("_c"))), "_z", group)
+
+
+def bartlett(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Bartlett's statistic of equal variances, and its degrees of freedom."""
+    g = df.groupBy(group).agg(F.count(value).alias("n"), F.var_samp(value).alias("v"))
+    f = F.col("n") - 1
+    x = g.agg(F.sum(f).alias("f"), F.sum(f * F.col("v")).alias("s"), F.sum(f * F.ln("v")).alias("l"), F.sum(1 / f).alias("r"), F.count(F.lit(1)).alias("k"))
+    c = 1 + (F.col("r") - 1 / F.col("f")) / (3 * (F.col("k") - 1))
+    return x.select(((F.col("f") * F.ln(F.col("s") / F.col("f")) - F.col("l")) / c).alias("bartlett"), (F.col("k") - 1).alias("df"))
+
+
+def chi2_goodness(df: DataFrame, key: str, expected: DataFrame) -> DataFrame:
+    """Chi-square of counts of a key against expected shares (key, share); keys that never occur count as zero."""
+    o = df.groupBy(key).agg(F.count(F.lit(1)).alias("o"))
+    x = expected.join(o, key, "left").select("share", F.coalesce("o", F.lit(0)).alias("o"))
+    x = x.crossJoin(F.broadcast(o.agg(F.sum("o").alias("n"))))
+    e = F.col("share") * F.col("n")
+    return x.agg(F.sum(F.pow(F.col("o") - e, 2) / e).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
+
+
+def two_by_two(df: DataFrame, exposed: str, event: str) -> DataFrame:
+    """Odds ratio and relative risk of two boolean columns."""
+    n = lambda a, b: F.count_if((F.col(exposed) == a) & (F.col(event) == b)).cast("double")
+    x = df.agg(n(True, True).alias("a"), n(True, False).alias("b"), n(False, True).alias("c"), n(False, False).alias("d"))
+    return x.select(F.try_divide(F.col("a") * F.col("d"), F.col("b") * F.col("c")).alias("odds_ratio"), F.try_divide(F.col("a") / (F.col("a") + F.col("b")), F.col("c") / (F.col("c") + F.col("d"))).alias("relative_risk"))
+
+
+def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Sums of ranks of positive and negative differences, without zeros."""
+    d = df.select((F.col(a) - F.col(b)).alias("_d")).where("_d <> 0").select("_d", F.abs("_d").alias("_a"))
+    r = ranks(d, "_a")
+    return r.agg(F.sum(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), F.count(F.lit(1)).alias("n"))
+
+
+def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
+    """Friedman's statistic of treatments ranked within blocks."""
+    w = Window.partitionBy(block)
+    rank = F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(block, value)) - 1) / 2
+    r = df.select(block, treatment, rank.alias("r"))
+    s = r.groupBy(treatment).agg(F.sum("r").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.count(F.lit(1)).alias("k"))
+    x = s.crossJoin(r.agg(F.count_distinct(block).alias("n")))
+    k, n = F.col("k"), F.col("n")
+    return x.select((12 / (n * k * (k + 1)) * F.col("q") - 3 * n * (k + 1)).alias("friedman"), (k - 1).alias("df"))
+
+
+def icc1(df: DataFrame, target: str, value: str) -> DataFrame:
+    """Intraclass correlation of the one-way model; every target has equally many ratings."""
+    g = df.groupBy(target).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("k"))
+    x = g.agg((F.max("k") * F.var_samp("m")).alias("between"), F.avg("v").alias("within"), F.max("k").alias("k"))
+    return x.select(((F.col("between") - F.col("within")) / (F.col("between") + (F.col("k") - 1) * F.col("within"))).alias("icc"))
+
+
+def covariance_matrix(df: DataFrame, columns: list[str], ddof: int = 1) -> DataFrame:
+    """(a, b, cov, corr) of all pairs of columns, from one aggregate."""
+    from helioscope.functions.aggregates import covariance, pearson
+
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), covariance(F.col(a), F.col(b), ddof).alias("cov"), pearson(F.col(a), F.col(b)).alias("corr")) for i, a in enumerate(columns) for b in columns[i:]]
+    return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))

@@ -34,4 +34,4 @@ def rounded(**columns: Column) -> list[Column]:
     return [F.round(c, 6).alias(name) for name, c in columns.items()]
 
 
-from helioscope.plans import graphs, more, relational, statistics, streams, texts  # noqa: E402, F401
+from helioscope.plans import graphs, hypotheses, more, relational, statistics, streams, texts  # noqa: E402, F401
