@@ -23,7 +23,7 @@ def graph_degree(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(edges(spark, d))
 
 
-@query(f"""WITH e AS ({BOTH}), g AS (SELECT src, count(*) AS k FROM e GROUP BY src), p AS (SELECT DISTINCT src AS a, 1000001 AS b FROM e WHERE src > 1000001),
+@query(f"""WITH e AS ({BOTH}), g AS (SELECT src, count(*) AS k FROM e GROUP BY src), p AS (SELECT DISTINCT src AS a, 1000001::BIGINT AS b FROM e WHERE src > 1000001),
     c AS (SELECT p.a, p.b, count(*) AS n FROM p JOIN e x ON x.src = p.a JOIN e y ON y.src = p.b AND y.dst = x.dst GROUP BY ALL)
     SELECT p.a, p.b, coalesce(n, 0) AS common, round(coalesce(n, 0) / (ga.k + coalesce(gb.k, 0) - coalesce(n, 0)), 6) AS jaccard FROM p LEFT JOIN c USING (a, b) JOIN g ga ON ga.src = p.a LEFT JOIN g gb ON gb.src = p.b""")
 def graph_jaccard(spark: SparkSession, d: str) -> DataFrame:

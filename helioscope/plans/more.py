@@ -36,7 +36,7 @@ def bearings(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("a.k") < F.col("b.k")).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(geometry.bearing(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")), 4).alias("bearing"))
 
 
-@query("""SELECT s_suppkey, round(10 * greatest(s_nationkey, 1), 4) AS area, round(2 * (10 + greatest(s_nationkey, 1)), 4) AS perimeter, (s_acctbal > 0 AND s_acctbal < 10) AS inside FROM supplier""")
+@query("""SELECT s_suppkey, (10 * greatest(s_nationkey, 1))::DOUBLE AS area, (2 * (10 + greatest(s_nationkey, 1)))::DOUBLE AS perimeter, (s_acctbal > 0 AND s_acctbal < 10) AS inside FROM supplier""")
 def polygons(spark: SparkSession, d: str) -> DataFrame:
     h = F.greatest(F.col("s_nationkey"), F.lit(1)).cast("double")
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -57,7 +57,7 @@ def peak_demand(spark: SparkSession, d: str) -> DataFrame:
     return extremes.peaks(load(spark, d, "events"), "value", 0.99, ["event_type"]).select("event_id")
 
 
-@query("""WITH t AS (SELECT unnest([50.0, 100.0, 150.0]) AS threshold) SELECT threshold, count(*) AS n, round(avg(value - threshold), 6) AS mean_excess, round(sqrt(var_pop(value - threshold) / count(*)), 6) AS standard_error FROM events, t WHERE value > threshold GROUP BY ALL""")
+@query("""WITH t AS (SELECT unnest([50.0, 100.0, 150.0]::DOUBLE[]) AS threshold) SELECT threshold, count(*) AS n, round(avg(value - threshold), 6) AS mean_excess, round(sqrt(var_pop(value - threshold) / count(*)), 6) AS standard_error FROM events, t WHERE value > threshold GROUP BY ALL""")
 def pot_mean_residual(spark: SparkSession, d: str) -> DataFrame:
     x = extremes.mean_residual_life(load(spark, d, "events"), "value", [50.0, 100.0, 150.0])
     return x.select("threshold", "n", *rounded(mean_excess=F.col("mean_excess"), standard_error=F.col("standard_error")))

@@ -122,7 +122,7 @@ def rle_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, sum(value) AS v FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY hour) AS i FROM h),
     q AS (SELECT quantile_cont(v, 0.8) AS q FROM h), k AS (SELECT i, i - row_number() OVER (ORDER BY i) AS g FROM n, q WHERE v >= q)
-    SELECT min(i) AS first_row, max(i) AS last_row, count(*) AS length FROM k GROUP BY g HAVING count(*) >= 2""")
+    SELECT min(i)::INTEGER AS first_row, max(i)::INTEGER AS last_row, count(*) AS length FROM k GROUP BY g HAVING count(*) >= 2""")
 def peak_demand_islands(spark: SparkSession, d: str) -> DataFrame:
     h = load(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("value").alias("v"))
     q = h.agg(A.quantile(F.col("v"), 0.8).alias("q"))
