@@ -15,7 +15,8 @@ it verified, never the pairs of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -191,6 +192,8 @@ def digests(found: DataFrame) -> DataFrame:
 WIDE = 4
 ROWS, BANDS, SPLITS = 2, 12, 6
 LEVELS = 3
+#: Standard deviations that the loose filter allows: at 0.8 that is 73 bits, four above the mean of the worst small sets (4 of 5 shingles in common).
+LOOSE = 6.0
 
 
 def expected_bits(similarity: float, bits: int = 64 * WIDE, margin: float = 0.5) -> int:
@@ -199,99 +202,184 @@ def expected_bits(similarity: float, bits: int = 64 * WIDE, margin: float = 0.5)
     return int(bits * p + margin * np.sqrt(bits * p * (1 - p)))
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, rising."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
 def wide_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, fp binary, lows binary): a hash of id and text, a fingerprint of 64 * WIDE bits, and the least values of the shingles under fixed hash functions. Texts without words have neither."""
+    """(doc_id, row, content binary, fp binary, lows binary): a hash of id and text, a 128-bit digest of the set of shingles, a fingerprint of 64 * WIDE bits, and the least values of the shingles under fixed hash functions. Texts without words have none of the last three."""
     n = ROWS * BANDS + SPLITS * LEVELS
     factors = mix64(np.arange(101, 101 + n, dtype=np.uint64)) | np.uint64(1)
     seeds = mix64(np.arange(1, WIDE + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps, lows = [], []
+            contents, fps, lows = [], [], []
             for text in batch.column(1).to_pylist():
-                h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+                h = shingle_set(text, words)
                 if not len(h):
-                    fps.append(None)
-                    lows.append(None)
+                    for out in (contents, fps, lows):
+                        out.append(None)
                     continue
+                contents.append(xxhash.xxh3_128_digest(h.tobytes()))
                 fps.append(b"".join(np.uint64(fingerprint(mix64(h ^ s))).tobytes() for s in seeds))
                 lows.append(np.array([(h * f).min() for f in factors]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.binary()), pa.array(lows, pa.binary())], ["doc_id", "row", "fp", "lows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.binary()) for x in (contents, fps, lows))], ["doc_id", "row", "content", "fp", "lows"])
 
     rows = texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    return rows.mapInArrow(run, "doc_id bigint, row bigint, fp binary, lows binary")
+    return rows.mapInArrow(run, "doc_id bigint, row bigint, content binary, fp binary, lows binary")
+
+
+def linked(first: int, order: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning tree over `first` and what of `order` it reaches: (row, rows linked to it that no row before was). Every row that is reached is compared with all that aren't yet."""
+    reached = [first]
+    while reached and len(order):
+        at = reached.pop()
+        hit = near(at, order)
+        if hit.any():
+            yield at, order[hit]
+            reached += order[hit].tolist()
+            order = order[~hit]
+
 
+def families(fps: np.ndarray, max_bits: int) -> list[np.ndarray]:
+    """Rows of each component of two or more under fingerprints within max_bits."""
+    refs = mix64(np.arange(1, WIDE * PIVOTS + 1, dtype=np.uint64)).reshape(PIVOTS, WIDE)
+    table = np.stack([np.bitwise_count(fps ^ r).sum(1) for r in refs], 1).astype(np.int16)
+
+    def near(at: int, rest: np.ndarray) -> np.ndarray:
+        hit = np.abs(table[rest] - table[at]).max(1) <= max_bits  # else out of reach, by the triangle inequality
+        hit[hit] = np.bitwise_count(fps[rest[hit]] ^ fps[at]).sum(1) <= max_bits
+        return hit
+
+    order, out = np.arange(len(fps)), []
+    while len(order) > 1:
+        own = np.concatenate([order[:1], *(hit for _, hit in linked(int(order[0]), order[1:], near))])
+        if len(own) > 1:
+            out.append(np.sort(own))
+        order = np.setdiff1d(order, own, assume_unique=True)
+    return out
 
-def leaders(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """(leader, member): the least id leads all within max_bits of it, then the least id left leads, and so on."""
+
+def leaders(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(leader, member): the least id leads all sets whose Jaccard similarity to its own is at least `similarity`, then the least id left leads, and so on."""
+    near = similarity_of(sets, similarity)
     order = np.argsort(ids, kind="stable")
     out = []
     while len(order) > 1:
-        first, rest = order[0], order[1:]
-        near = rest[np.abs(table[rest] - table[first]).max(1) <= max_bits]  # else out of reach, by the triangle inequality
-        near = near[np.bitwise_count(fps[near] ^ fps[first]).sum(1) <= max_bits]
-        out += [(int(ids[first]), int(i)) for i in ids[near].tolist()]
-        order = np.setdiff1d(rest, near, assume_unique=True) if len(near) else rest
-        order = order[np.argsort(ids[order], kind="stable")]
+        first, order = int(order[0]), order[1:]
+        hit = near(first, order)
+        out += [(int(ids[first]), int(i)) for i in ids[order[hit]].tolist()]
+        order = order[~hit]
     return out
 
 
+def similarity_of(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function of a row and other rows: which of these have a Jaccard similarity to it of at least `similarity`, by the sets themselves."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, mark = flat.astype(np.int32), np.zeros(len(names), bool)
+    del names
+    parts, wanted = Fraction(str(similarity)).as_integer_ratio()
+
+    def near(at: int, rest: np.ndarray) -> np.ndarray:
+        own = flat[begin[at] : begin[at] + sizes[at]]
+        mark[own] = True
+        hit = wanted * np.minimum(sizes[rest], sizes[at]) >= parts * np.maximum(sizes[rest], sizes[at])
+        some = np.flatnonzero(hit)
+        for i in range(0, len(some), 512):
+            r = rest[some[i : i + 512]]
+            ends = np.cumsum(sizes[r])
+            common = np.add.reduceat(mark[flat[np.arange(ends[-1]) - np.repeat(ends - sizes[r] - begin[r], sizes[r])]], ends - sizes[r], dtype=np.int64)
+            hit[some[i : i + 512]] = wanted * common >= parts * (sizes[r] + sizes[at] - common)
+        mark[own] = False
+        return hit
+
+    return near
+
+
+def by_key(batches: Iterator[pa.RecordBatch], close: Callable[[list[tuple]], list[tuple]], types: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What `close` makes of each key's rows, of a partition that is sorted by key (the first column)."""
+    at, held = None, []
+    table = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+    for batch in batches:
+        out = []
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != at:
+                if len(held) > 1:
+                    out += close(held)
+                at, held = key, []
+            held.append(row)
+        yield table(out)
+    yield table(close(held) if len(held) > 1 else [])
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, group): groups of documents (row is a hash of id and text) whose wide fingerprints differ as little as texts of at least this similarity do.
+    """(doc_id, row, group): groups of documents (row is a hash of id and text) whose sets of shingles have at least this Jaccard similarity.
 
     Candidates share both values of one of BANDS pairs of least shingle hashes:
     at similarity 0.8 fewer than one pair in 10^5 shares none. A key with more
-    than `crowd` different fingerprints is split by SPLITS further least
-    values, up to LEVELS times. In a key the least document leads those near it,
-    so a key of n documents makes fewer than n edges. Documents with equal
-    least values and fingerprints are one node. Texts without words, and null
-    ids, are groups of their own.
+    than `crowd` different documents is split by SPLITS further least
+    values, up to LEVELS times. Within a key wide fingerprints, as a loose
+    filter, leave families; a family that several keys find is taken once. Only
+    members of families have their sets of shingles shipped, by which every
+    link is decided. A family of n documents makes fewer than n edges.
+    Documents with equal sets are one node. Texts without words, and null ids,
+    are groups of their own.
     """
-    max_bits = expected_bits(similarity)
+    max_bits = expected_bits(similarity, margin=LOOSE)
     prints = written(wide_prints(docs, words, id_col, text_col).where("doc_id IS NOT NULL AND fp IS NOT NULL"), "simhash-wide")
-    nodes = prints.groupBy("fp", "lows").agg(F.min("doc_id").alias("node"))
-    nodes = written(nodes, "simhash-nodes")
+    nodes = prints.groupBy("content", "fp", "lows").agg(F.min(F.struct("doc_id", "row")).alias("m"))
+    nodes = written(nodes.select("content", "fp", "lows", F.col("m.doc_id").alias("node"), F.col("m.row").alias("row")), "simhash-nodes")
     band = lambda i: F.xxhash64(F.lit(i), F.substring("lows", 8 * ROWS * i + 1, 8 * ROWS))
-    keyed = nodes.select("node", "fp", "lows", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
-    refs = mix64(np.arange(1, WIDE * PIVOTS + 1, dtype=np.uint64)).reshape(PIVOTS, WIDE)
+    keyed = nodes.select("row", "fp", "lows", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
     n = spread(docs.sparkSession)
-    edges = None
+    found = None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, fps = None, [], []
+    def near_prints(held: list[tuple]) -> list[tuple]:
+        rows = np.array([x[0] for x in held], np.int64)
+        fps = np.frombuffer(b"".join(x[1] for x in held), np.uint64).reshape(-1, WIDE)
+        out = []
+        for own in families(fps, max_bits):
+            name = xxhash.xxh64_intdigest(rows[own].tobytes()) - (1 << 63)  # keys with the same members give the same family
+            out += [(name, int(r)) for r in rows[own].tolist()]
+        return out
 
-        def close() -> list[tuple[int, int]]:
-            if len(ids) < 2:
-                return []
-            f = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WIDE)
-            table = np.stack([np.bitwise_count(f ^ r).sum(1) for r in refs], 1).astype(np.int16)
-            return leaders(np.array(ids, np.int64), f, table, max_bits)
+    def near_sets(held: list[tuple]) -> list[tuple]:
+        return leaders(np.array([x[0] for x in held], np.int64), [np.frombuffer(x[1], np.uint64) for x in held], similarity)
 
-        for batch in batches:
-            out = []
-            for key, node, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != at:
-                    out += close()
-                    at, ids, fps = key, [], []
-                ids.append(node)
-                fps.append(fp)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["u", "v"])
-        out = close()
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["u", "v"])
+    def families_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return by_key(batches, near_prints, [pa.int64(), pa.int64()], ["family", "row"])
+
+    def edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return by_key(batches, near_sets, [pa.int64(), pa.int64()], ["u", "v"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["row", "shingles"])
 
     for level in range(LEVELS + 1):
         keyed = written(keyed, "simhash-bands")
         many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         marked = written(keyed.join(many, "key"), "simhash-marked")
         last = level == LEVELS
-        own = (marked if last else marked.where(F.col("n") <= crowd)).select("key", "node", "fp")
-        found = own.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "u bigint, v bigint")
-        edges = found if edges is None else edges.union(found)
+        own = (marked if last else marked.where(F.col("n") <= crowd)).select("key", "row", "fp")
+        some = own.repartition(n, "key").sortWithinPartitions("key", "row").mapInArrow(families_of, "family bigint, row bigint")
+        found = some if found is None else found.union(some)
         rest = marked.where(F.col("n") > crowd)
         if last or rest.isEmpty():
             break
         low = lambda i, level=level: F.xxhash64("key", F.substring("lows", 8 * (ROWS * BANDS + SPLITS * level + i) + 1, 8))
-        keyed = rest.select("node", "fp", "lows", F.explode(F.array(*[low(i) for i in range(SPLITS)])).alias("key"))
+        keyed = rest.select("row", "fp", "lows", F.explode(F.array(*[low(i) for i in range(SPLITS)])).alias("key"))
+    found = written(found.distinct(), "simhash-families")
+    texts = texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text")).select("row", "text")
+    sets = texts.join(found.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).mapInArrow(sets_of, "row bigint, shingles binary")
+    sets = sets.join(nodes.select("row", "node"), "row")
+    sent = found.join(sets, "row").select("family", "node", "shingles")
+    edges = sent.repartition(n, "family").sortWithinPartitions("family", "node").mapInArrow(edges_of, "u bigint, v bigint")
     roots = components(edges, "simhash-components").select("node", "root")
-    named = nodes.join(roots, "node", "left").select("fp", "lows", F.coalesce("root", "node").alias("group"))
-    return prints.join(named, ["fp", "lows"]).select("doc_id", "row", "group")
+    named = nodes.join(roots, "node", "left").select("content", F.coalesce("root", "node").alias("group"))
+    return prints.join(named, "content").select("doc_id", "row", "group")

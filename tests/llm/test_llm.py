@@ -357,6 +357,32 @@ def test_similar_finds_copies_of_similarity(spark):
     assert all(got[100 + i] == i for i in range(10)) and got[200] == 29 and all(got[i] == i for i in range(30))
 
 
+def shingles_of(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def jaccard(a, b):
+    a, b = shingles_of(a), shingles_of(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_decides_by_exact_similarity(spark):
+    """Pairs from 0.75 to 0.85, most of them within a few bits of the mean at 0.8, against brute force."""
+    rng = random.Random(12)
+    rows, near = [], {}
+    for i in range(120):
+        w = [f"{i}w{j}" for j in range(300)]
+        v = list(w)
+        tail = rng.randint(24, 42)  # a new tail of n words: similarity (296 - n) / (296 + n)
+        v[-tail:] = [f"{i}v{j}" for j in range(tail)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        near[i] = jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+    got = {r["doc_id"]: r["group"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert 20 < sum(near.values()) < 100
+    assert got == {2 * i + k: 2 * i if near[i] else 2 * i + k for i in near for k in (0, 1)}
+
+
 # op10
 
 
