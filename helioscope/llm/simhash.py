@@ -262,16 +262,15 @@ def families(fps: np.ndarray, max_bits: int) -> list[np.ndarray]:
     return out
 
 
-def leaders(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """(leader, member): the least id leads all sets whose Jaccard similarity to its own is at least `similarity`, then the least id left leads, and so on."""
+def set_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of all links between sets whose Jaccard similarity is at least `similarity`: a row that is linked is compared in turn with all rows that aren't yet."""
     near = similarity_of(sets, similarity)
-    order = np.argsort(ids, kind="stable")
-    out = []
+    order, out = np.arange(len(ids)), []
     while len(order) > 1:
         first, order = int(order[0]), order[1:]
-        hit = near(first, order)
-        out += [(int(ids[first]), int(i)) for i in ids[order[hit]].tolist()]
-        order = order[~hit]
+        for at, hit in linked(first, order, near):
+            out += [(int(ids[at]), int(i)) for i in ids[hit].tolist()]
+            order = np.setdiff1d(order, hit, assume_unique=True)
     return out
 
 
@@ -325,7 +324,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int
     values, up to LEVELS times. Within a key wide fingerprints, as a loose
     filter, leave families; a family that several keys find is taken once. Only
     members of families have their sets of shingles shipped, by which every
-    link is decided. A family of n documents makes fewer than n edges.
+    link is decided. All members are held against each other, but for those
+    that are linked already, so a family of n documents makes fewer than n
+    edges. A group is a component of all links: its members are near each other
+    by chains, not each near the least document.
     Documents with equal sets are one node. Texts without words, and null ids,
     are groups of their own.
     """
@@ -348,7 +350,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int
         return out
 
     def near_sets(held: list[tuple]) -> list[tuple]:
-        return leaders(np.array([x[0] for x in held], np.int64), [np.frombuffer(x[1], np.uint64) for x in held], similarity)
+        return set_links(np.array([x[0] for x in held], np.int64), [np.frombuffer(x[1], np.uint64) for x in held], similarity)
 
     def families_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return by_key(batches, near_prints, [pa.int64(), pa.int64()], ["family", "row"])

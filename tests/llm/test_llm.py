@@ -383,6 +383,29 @@ def test_similar_decides_by_exact_similarity(spark):
     assert got == {2 * i + k: 2 * i if near[i] else 2 * i + k for i in near for k in (0, 1)}
 
 
+def test_similar_links_edited_copies_in_one_key(spark):
+    """A near B, B near C, A not near C; then families of copies edited again and again, against brute force."""
+    w = [f"a{j}" for j in range(100)]
+    cut = lambda lo, hi: np.unique([xxhash.xxh64_intdigest(x) for x in w[lo:hi]]).astype(np.uint64)
+    assert sorted(simhash.set_links(np.array([1, 2, 3]), [cut(0, 80), cut(8, 88), cut(16, 96)], 0.8)) == [(1, 2), (2, 3)]
+    rng = random.Random(4)
+    rows = []
+    for f in range(6):
+        t = [f"{f}w{j}" for j in range(120)]
+        for k in range(8):
+            rows.append((len(rows), " ".join(t)))
+            at, r = rng.randrange(100), rng.randint(1, 14)
+            t = [*t[:at], *(f"{f}e{k}.{j}" for j in range(r)), *t[at + r :]]
+    want = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if jaccard(a, b) >= 0.8 and want[i] != want[j]:
+                lo, hi = sorted((want[i], want[j]))
+                want = {k: lo if v == hi else v for k, v in want.items()}
+    got = {r["doc_id"]: r["group"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and 6 < len(set(want.values())) < 40
+
+
 # op10
 
 
