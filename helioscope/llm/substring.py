@@ -30,7 +30,7 @@ LAST = 2**63 - 1
 
 
 class Words(Units):
-    content = np.uint32
+    content = U
 
     def __init__(self, window: int = WINDOW, k: int = PREFIX, crowd: int = CROWD):
         self.window, self.k, self.crowd = window, min(k, window), crowd
@@ -61,28 +61,28 @@ class Words(Units):
         return mix64(self._hash(units, self.k, 1))
 
     def shipped(self, units: np.ndarray) -> np.ndarray:
-        return units.astype(np.uint32)
+        return units
 
     def digests(self, content: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words = mix64(content.astype(U) + U(1))
+        words = mix64(content + U(1))
         return mix64(self._hash(words, self.window, 2))[starts], mix64(self._hash(words, self.window, 3))[starts]
 
 
 def tree_levels(content: np.ndarray, starts: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes at `starts` that lie below an internal node at `depth` with two documents or more, and the least document of each one's node.
 
-    One level takes two words: a node's suffixes are ordered by (node, next two
-    words), and only nodes with two documents grow further.
+    One level takes two words: a node's suffixes are ordered by (node, a mix of
+    the next two words), and only nodes with two documents grow further. Where
+    a node ends is told by the 64-bit words themselves.
     """
     alive, node, at = np.arange(len(starts)), np.zeros(len(starts), U), 0
     while len(alive) and at < depth:
         step = min(2, depth - at)
-        nxt = content[starts[alive] + at].astype(U)
-        if step == 2:
-            nxt = nxt << U(32) | content[starts[alive] + at + 1].astype(U)
-        order = np.lexsort((nxt, node))
-        node, nxt, alive = node[order], nxt[order], alive[order]
-        first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (nxt[1:] != nxt[:-1])))
+        nxt = content[starts[alive] + at]
+        then = content[starts[alive] + at + step - 1]
+        order = np.lexsort((mix64(nxt) + then * U(0x9E3779B97F4A7C15), node))
+        node, nxt, then, alive = node[order], nxt[order], then[order], alive[order]
+        first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (nxt[1:] != nxt[:-1]) | (then[1:] != then[:-1])))
         size = np.diff(np.append(first, len(alive)))
         low, high = np.minimum.reduceat(doc[alive], first), np.maximum.reduceat(doc[alive], first)
         grows = low < high

@@ -202,6 +202,22 @@ def test_substring_other_window_and_carried_columns(docs, rows):
     assert Counter(map(tuple, substring.digests(got).collect())) == brute_substring(rows, 3)
 
 
+@pytest.mark.parametrize("crowd", [20_000, 2])
+def test_substring_keeps_words_whose_hashes_end_alike(spark, crowd):
+    """Two words with one low half of their 64-bit hashes, each in its own copy of a passage, are different words."""
+    seen = {}
+    for i in range(1_000_000):
+        w = f"n{i}"
+        low = xxhash.xxh64_intdigest(w) & 0xFFFFFFFF
+        if low in seen:
+            break
+        seen[low] = w
+    p = prose(random.Random(2), 60).split()
+    rows = [(i, " ".join([*p[:30], x, *p[30:]])) for i, x in enumerate([seen[low], w, "other"])]
+    got = {r["doc_id"]: (r["kept"], r["n_removed"]) for r in substring.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), crowd=crowd).collect()}
+    assert got[1] == (w, 60) and got[2] == ("other", 60)
+
+
 def test_substring_empty(empty):
     assert substring.dedup(empty).count() == 0
 
