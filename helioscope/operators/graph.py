@@ -44,6 +44,15 @@ def common_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select("a", "b", n.alias("common"), F.when(union > 0, n / union).otherwise(1.0).alias("jaccard"), F.coalesce("adamic_adar", F.lit(0.0)).alias("adamic_adar"))
 
 
+def neighbour_similarity(links: DataFrame) -> DataFrame:
+    """(a, b, common, jaccard) of every pair a < b of sources of distinct directed links that share a target. The rows joined are the pairs of each target's sources, so a target with n of them makes n * n / 2."""
+    k = links.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    e = links.join(k, "src")
+    a, b = e.select(F.col("src").alias("a"), F.col("k").alias("ka"), "dst"), e.select(F.col("src").alias("b"), F.col("k").alias("kb"), "dst")
+    c = a.join(b, "dst").where("a < b").groupBy("a", "b", "ka", "kb").agg(F.count(F.lit(1)).alias("common"))
+    return c.select("a", "b", "common", (F.col("common") / (F.col("ka") + F.col("kb") - F.col("common"))).alias("jaccard"))
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(id, triangles): edges point from lower to higher degree, so no node's wedges exceed the root of the number of edges."""
     d = degrees(edges)

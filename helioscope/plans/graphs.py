@@ -32,6 +32,18 @@ def graph_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return graph.common_neighbours(e, p).select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
 
 
+def whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    """As edges, of all line items."""
+    o, l = load(spark, d, "orders"), load(spark, d, "lineitem")
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (1000000 + F.col("l_suppkey")).alias("dst")).distinct()
+
+
+@query()
+def graph_jaccard_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of nodes that shares a neighbour, over the edges of all orders and line items."""
+    return graph.neighbour_similarity(graph.symmetric(whole_edges(spark, d))).select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query(f"""WITH RECURSIVE e AS ({BOTH}), r(id, c) USING KEY (id) AS (SELECT src, min(least(src, dst)) FROM e GROUP BY src UNION SELECT e.src, min(x.c) FROM r x JOIN e ON e.dst = x.id JOIN recurring.r o ON o.id = e.src WHERE x.c < o.c GROUP BY e.src)
     SELECT id, c AS component FROM r""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
