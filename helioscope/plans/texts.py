@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helioscope.functions import text as T
-from helioscope.operators.graph import cut
+from helioscope.operators.graph import cut, neighbour_similarity
 from helioscope.plans.registry import query
 from helioscope.session import load
 
@@ -75,6 +75,25 @@ def levenshtein_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return x.select("item_id", F.levenshtein("s", F.lag("s").over(Window.orderBy("item_id"))).cast("bigint").alias("distance"))
 
 
+@query()
+def levenshtein_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As levenshtein_benchmark, over whole texts."""
+    x = load(spark, d, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^a-z ]", "").alias("s"))
+    return x.select("item_id", F.levenshtein("s", F.lag("s").over(Window.orderBy("item_id"))).cast("bigint").alias("distance"))
+
+
+@query()
+def skip_grams_documents(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).select("doc_id", F.explode(T.skipgrams(F.col("w"), 1)).alias("pair")).groupBy("doc_id", "pair").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def jaccard_document_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents that share a word, found over the words."""
+    e = tokens(spark, d).select(F.col("doc_id").alias("src"), F.explode(F.array_distinct("w")).alias("dst"))
+    return neighbour_similarity(e).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[A-Za-z]+')) AS words, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, '[A-Z]')) AS capitals, len(regexp_extract_all(text, '\\n')) AS newlines,
     len(regexp_extract_all(text, 'https?://')) AS urls, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) AS emails FROM documents""")
 def text_stats(spark: SparkSession, d: str) -> DataFrame:

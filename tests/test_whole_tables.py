@@ -1,7 +1,7 @@
 """Queries over whole texts and whole tables against brute force on the driver's smallest tables."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
@@ -21,6 +21,15 @@ def similarities(sets):
             yield a, b, n, n / len(sets[a] | sets[b])
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_graph_jaccard_whole(spark, sf_dir):
     near = defaultdict(set)
     for c, s in rows(sf_dir, "SELECT o_custkey, 1000000 + l_suppkey FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey"):
@@ -29,3 +38,18 @@ def test_graph_jaccard_whole(spark, sf_dir):
     got = {(r["a"], r["b"]): (r["common"], r["jaccard"]) for r in registry.QUERIES["graph_jaccard_whole"](spark, sf_dir).collect()}
     want = {(a, b): (n, pytest.approx(x, abs=1e-6)) for a, b, n, x in similarities(near)}
     assert got == want and len({b for _, b in got if b > 1000000}) > 1
+
+
+def test_levenshtein_whole(spark, sf_dir):
+    texts = [(i, re.sub("[^a-z ]", "", t.lower())) for i, t in rows(sf_dir, "SELECT item_id, text FROM {benchmark} ORDER BY 1")][:12]
+    got = {r["item_id"]: r["distance"] for r in registry.QUERIES["levenshtein_whole"](spark, sf_dir).collect()}
+    assert max(len(t) for _, t in texts) > 40
+    assert [got[i] for i, _ in texts] == [None, *(distance(a, b) for (_, a), (_, b) in zip(texts, texts[1:]))]
+
+
+def test_skip_grams_and_jaccard_of_documents(spark, sf_dir):
+    words = {i: re.findall("[a-z]+", t.lower()) for i, t in rows(sf_dir, "SELECT doc_id, text FROM {documents}")}
+    want = Counter((i, f"{w[k]} {w[k + d]}") for i, w in words.items() for d in (1, 2) for k in range(len(w) - d))
+    assert {(r["doc_id"], r["pair"]): r["n"] for r in registry.QUERIES["skip_grams_documents"](spark, sf_dir).collect()} == want
+    got = {(r["a"], r["b"]): r["jaccard"] for r in registry.QUERIES["jaccard_document_pairs"](spark, sf_dir).collect()}
+    assert got == {(a, b): pytest.approx(x, abs=1e-6) for a, b, _, x in similarities({i: set(w) for i, w in words.items()})}
