@@ -322,7 +322,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int
     at similarity 0.8 fewer than one pair in 10^5 shares none. A key with more
     than `crowd` different documents is split by SPLITS further least
     values, up to LEVELS times. Within a key wide fingerprints, as a loose
-    filter, leave families; a family that several keys find is taken once. Only
+    filter, leave families; families of up to `crowd` documents that
+    share members are joined, so a document is shipped once. Only
     members of families have their sets of shingles shipped, by which every
     link is decided. All members are held against each other, but for those
     that are linked already, so a family of n documents makes fewer than n
@@ -377,6 +378,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int
         low = lambda i, level=level: F.xxhash64("key", F.substring("lows", 8 * (ROWS * BANDS + SPLITS * level + i) + 1, 8))
         keyed = rest.select("row", "fp", "lows", F.explode(F.array(*[low(i) for i in range(SPLITS)])).alias("key"))
     found = written(found.distinct(), "simhash-families")
+    lows = found.groupBy("family").agg(F.min("row").alias("v"))
+    whole = components(found.join(lows, "family").select(F.col("row").alias("u"), "v"), "simhash-whole").select(F.col("node").alias("row"), "root")
+    roots = whole.union(whole.select(F.col("root").alias("row"), "root")).distinct()
+    small = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= crowd).select("root")
+    once = written(roots.join(small, "root").select(F.col("root").alias("family"), "row"), "simhash-once")
+    found = once.union(found.join(once.select("row"), "row", "left_anti").select("family", "row"))
     texts = texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text")).select("row", "text")
     sets = texts.join(found.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).mapInArrow(sets_of, "row bigint, shingles binary")
     sets = sets.join(nodes.select("row", "node"), "row")
