@@ -56,7 +56,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     lost executors cost no earlier round. The rounds end when a checksum of the
     edges stands still; that number alone reaches the driver.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), tag)  # a round reads them several times
     seen = None
     while True:
         edges = written(_star(_star(edges, True), False), tag)
