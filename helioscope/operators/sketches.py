@@ -65,13 +65,22 @@ def count_sketch_query(sketch: DataFrame, keys: DataFrame, key: str, depth: int,
 
 
 def bloom_prefilter(left: DataFrame, right: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
-    """Rows of left whose key may be in right: all that are, few that aren't. The filter is `bits` rows at most, and broadcast."""
-    spots = lambda c: F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits)) for i in range(hashes)]))
-    word = F.floor(F.col("b") / 60)
-    filled = right.select(F.explode(spots(F.col(key))).alias("b")).groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 60 as int))")).alias("m"))
-    probe = left.select("*", F.explode(spots(F.col(key))).alias("b")).withColumn("w", word)
-    hit = probe.join(F.broadcast(filled), "w", "left").withColumn("in", F.when(F.coalesce("m", F.lit(0).cast("bigint")).bitwiseAND(F.expr("shiftleft(1L, cast(b % 60 as int))")) != 0, 1).otherwise(0))
-    return hit.groupBy(*left.columns).agg(F.min("in").alias("in")).where("in = 1").drop("in")
+    """Rows of left whose key may be in right, repeated rows as often as they stand: all that are, few that aren't, none with a null key.
+
+    The filter is one array of bits / 60 numbers, broadcast as a single row; a
+    row of left is probed by an expression, and meets no other.
+    """
+    spot = lambda i: F.pmod(F.xxhash64(F.lit(i), F.col(key)), F.lit(bits))
+    one = lambda b: F.when(b.isNotNull(), F.expr("1L") * F.pow(F.lit(2.0), b % 60).cast("bigint"))
+    words = -(-bits // 60)
+    set_ = right.where(F.col(key).isNotNull()).select(F.explode(F.array(*[spot(i) for i in range(hashes)])).alias("b"))
+    filled = set_.groupBy(F.floor(F.col("b") / 60).alias("w")).agg(F.bit_or(one(F.col("b"))).alias("m"))
+    filled = left.sparkSession.range(words).withColumnRenamed("id", "w").join(filled, "w", "left")
+    row = filled.agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0).cast("bigint")).alias("m")))).alias("_f")).select(F.transform("_f", lambda s: s["m"]).alias("_f"))
+    hit = F.col(key).isNotNull()
+    for i in range(hashes):
+        hit = hit & (F.get("_f", F.floor(spot(i) / 60).cast("int")).bitwiseAND(one(spot(i))) != 0)
+    return left.crossJoin(F.broadcast(row)).where(hit).drop("_f")
 
 
 def tdigest_quantiles(df: DataFrame, value: str, by: list[str], qs: list[float], compression: int = 200) -> DataFrame:

@@ -13,13 +13,17 @@ from pyspark.sql.types import IntegerType, StringType
 
 from helioscope.functions import text as T
 
-#: Words by whose first occurrence a text's domain is told, in this order (fixed values).
+#: Strings of a lower-cased text that tell its domain. The first domain in this order counts.
 DOMAINS = {
     "legal": ["whereas", "liability", "contract"],
-    "medical": ["patient", "diagnosis", "treatment"],
-    "financial": ["revenue", "investment", "stock"],
-    "scientific": ["hypothesis", "experiment", "abstract"],
+    "medical": ["patient", "diagnosis", "medication"],
+    "financial": ["revenue", "profit", "investment"],
+    "patent": ["claim", "invention", "patent"],
+    "news": ["breaking", "according to", "officials"],
+    "social_media": ["#", "@"],
 }
+#: The domain of all other texts (a fixed value).
+DOMAIN_ELSE = "scientific"
 
 
 @F.pandas_udf(StringType())
@@ -93,7 +97,7 @@ def domain(text: Column) -> Column:
         for k in keys:
             hit = hit | low.contains(k)
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("general")
+    return out.otherwise(DOMAIN_ELSE)
 
 
 def char_cosine(a: Column, b: Column) -> Column:

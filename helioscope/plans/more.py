@@ -128,8 +128,8 @@ def savgol_smooth(spark: SparkSession, d: str) -> DataFrame:
     return series.savgol(hourly(spark, d), "v", "hour", ["event_type"], 7, 2)
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'whereas|liability|contract') THEN 'legal' WHEN regexp_matches(lower(text), 'patient|diagnosis|treatment') THEN 'medical' WHEN regexp_matches(lower(text), 'revenue|investment|stock') THEN 'financial'
-    WHEN regexp_matches(lower(text), 'hypothesis|experiment|abstract') THEN 'scientific' ELSE 'general' END AS domain FROM documents""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'whereas|liability|contract') THEN 'legal' WHEN regexp_matches(lower(text), 'patient|diagnosis|medication') THEN 'medical' WHEN regexp_matches(lower(text), 'revenue|profit|investment') THEN 'financial'
+    WHEN regexp_matches(lower(text), 'claim|invention|patent') THEN 'patent' WHEN regexp_matches(lower(text), 'breaking|according to|officials') THEN 'news' WHEN regexp_matches(lower(text), '[#@]') THEN 'social_media' ELSE 'scientific' END AS domain FROM documents""")
 def domain_detect(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", textmodels.domain(F.col("text")).alias("domain"))
 

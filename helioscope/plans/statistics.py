@@ -129,10 +129,10 @@ def peak_demand_islands(spark: SparkSession, d: str) -> DataFrame:
     return W.islands(h.crossJoin(F.broadcast(q)), F.col("v") >= F.col("q"), ["hour"], least=2).select("first_row", "last_row", "length")
 
 
-@query("""WITH n AS (SELECT l_suppkey, l_extendedprice, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 20 AS block FROM lineitem)
+@query("""WITH n AS (SELECT l_suppkey, l_extendedprice, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1) // 20 AS block FROM lineitem)
     SELECT l_suppkey, CAST(block AS BIGINT) AS block, max(l_extendedprice) AS maximum, count(*) AS n FROM n GROUP BY ALL HAVING count(*) = 20""")
 def block_maxima(spark: SparkSession, d: str) -> DataFrame:
-    return W.block_maxima(load(spark, d, "lineitem"), "l_extendedprice", 20, ["l_orderkey", "l_linenumber"], ["l_suppkey"])
+    return W.block_maxima(load(spark, d, "lineitem"), "l_extendedprice", 20, ["l_orderkey", "l_linenumber", "l_extendedprice"], ["l_suppkey"])
 
 
 @query("""WITH c AS (SELECT l_quantity, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS e, count(*) AS n FROM lineitem GROUP BY ALL),

@@ -91,16 +91,20 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, "path string, rate int, channels int, i bigint, values array<double>")
 
 
+def arff_attributes(lines: DataFrame) -> list[tuple[str, str]]:
+    """(name, type) of every attribute of ARFF lines (line)."""
+    out = []
+    for r in lines.where(F.lower("line").startswith("@attribute")).collect():
+        _, name, kind = r["line"].split(None, 2)
+        out.append((name.strip("'\""), "double" if kind.strip().lower() in ("numeric", "real", "integer") else "string"))
+    return out
+
+
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """An ARFF file as a table: numeric attributes are doubles, all others strings, '?' is null. Only the header reaches the driver."""
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' AND NOT startswith(line, '%')")
-    head = [r["line"] for r in lines.where(F.lower("line").startswith("@attribute")).limit(10_000).collect()]
-    names = []
-    for h in head:
-        _, name, kind = h.split(None, 2)
-        names.append((name.strip("'\""), "double" if kind.strip().lower() in ("numeric", "real", "integer") else "string"))
     row = F.split("line", ",")
-    cells = [F.when(F.trim(row[i]) != "?", F.trim(row[i])).cast(k).alias(n) for i, (n, k) in enumerate(names)]
+    cells = [F.when(F.trim(row[i]) != "?", F.trim(row[i])).cast(k).alias(n) for i, (n, k) in enumerate(arff_attributes(lines))]
     return lines.where(~F.col("line").startswith("@")).select(*cells)
 
 

@@ -247,3 +247,30 @@ def test_entry(spark, sf_dir):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_bloom_prefilter_keeps_repeated_rows(spark):
+    from helioscope.operators import sketches
+
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    right = spark.createDataFrame([(1,), (None,)], "k int")
+    got = sketches.bloom_prefilter(left, right, "k", 1000, 3).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a"), (1, "a")]
+
+
+def test_arff_reads_every_attribute(spark, tmp_path):
+    from helioscope.sources import formats
+
+    path = tmp_path / "wide.arff"
+    path.write_text("@relation r\n" + "".join(f"@attribute a{i} numeric\n" for i in range(10_001)) + "@data\n")
+    assert len(formats.arff_attributes(spark.read.text(str(path)).withColumnRenamed("value", "line"))) == 10_001
+
+
+def test_domain_rule_has_all_domains_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from helioscope.operators import textmodels
+
+    cases = {"Whereas a patient": "legal", "MEDICATION": "medical", "profit": "financial", "an invention": "patent", "according to #x": "news", "hi @you": "social_media", "nothing": "scientific"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", textmodels.domain(F.col("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in got} == cases
