@@ -22,6 +22,17 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 LOCAL_SHARED = "/tmp/checkpoints/helioscope"
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads them (the finaliser of SplitMix64)."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -69,16 +80,51 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 yield batch.slice(a, b - a)
 
 
-def binary_rows(blobs: list[bytes]) -> pa.Array:
-    return pa.array(blobs, pa.binary())
+#: What each byte adds to a word's hash: capitals as small letters. Any odd number does as the base.
+VALUES = mix64(np.array([LOWER.get(b, b) for b in range(256)], np.uint64) + np.uint64(1))
+GAPS = np.isin(np.arange(256), [32, *range(9, 14)])
+BASE = 0x9E3779B97F4A7C15
+PIECE = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE and its inverse modulo 2^64, to the powers 0 to n - 1."""
+    if len(_powers[0]) < n:
+        for i, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            out = np.full(n, b, np.uint64)
+            out[0] = 1
+            _powers[i] = np.cumprod(out, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, lower-cased in A-Z, of an array of strings, and how many each string has: a mixed polynomial of the bytes, for a whole piece at a time."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at -= at[0]
+    n = len(raw)
+    gap = GAPS[raw]
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    starts = np.flatnonzero(~gap & (edge[:-1] | np.append(True, gap[:-1])[:n]))
+    ends = np.flatnonzero(~gap & (edge[1:] | np.append(gap[1:], True)[:n])) + 1
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + PIECE, "right")))
+        span = int(ends[j - 1]) - a
+        up, down = powers(max(span, PIECE))
+        total = np.zeros(span + 1, np.uint64)
+        np.cumsum(VALUES[raw[a : a + span]] * up[:span], out=total[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out, np.diff(np.searchsorted(starts, at))
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads them (the finaliser of SplitMix64)."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+def binary_rows(blobs: list[bytes]) -> pa.Array:
+    return pa.array(blobs, pa.binary())

@@ -2,66 +2,60 @@
 
 A context's restaurant serves the words that follow it; its tables are the
 customers of one parent restaurant over all words, whose base is uniform over
-the training vocabulary and one unknown word. The `own` most frequent words are
-contexts of their own, other words share CLASSES contexts by their endings, so
-the number of restaurants is fixed, while what they hold grows with the corpus.
-
-Counts and seats stay distributed. Pairs (context, word) are dealt to buckets,
-those of frequent words by the pair and those of rare words by the word, so a
-bucket has all of a pair's customers, and all of a rare word's. Gibbs sweeps
-seat every pair's customers again, given the tables of all others from the
-sweep before: a pass over the bucketed table that sums tables by context and by
-frequent word, arrays of fixed size. After `burn` sweeps, `samples` sweeps give
-predictive probabilities whose average scores every document's words. Seats are
-drawn with seeds by bucket and sweep, so a repeated task draws the same.
-
-Words are known by 64-bit hashes (48 bits within a bucket of rare words).
+the training vocabulary and one unknown word. Every word is a context of its
+own, so the restaurants grow with the corpus.
+
+Counts and seats stay distributed. Pairs (context, word) are dealt to buckets:
+those of two frequent words by the pair, those of a rare context and a frequent
+word by the context, those of a rare word by the word. So a bucket has all of a
+pair's customers, and all of a rare word's. Frequent words (OWN of them) are
+known to all tasks as arrays of that fixed size, summed once a sweep. What a
+rare context has in several buckets is summed at its home, the bucket of its
+hash, which tells the sum to every bucket that has the context (`Homes`).
+Gibbs sweeps seat every pair's customers again, given the tables of all others
+from the sweep before. After `burn` sweeps, `samples` sweeps give predictive
+probabilities whose average scores every document's words. Seats are drawn with
+seeds by bucket and sweep, so a repeated task draws the same.
+
+Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, spread, texts_of, written
-from .repeats import U, _by_bucket, _groups, _joined, ragged
-from .simhash import UPPER
+from .common import fresh_path, mix64, slices, spread, texts_of, word_hashes, written
+from .repeats import U, _by_bucket, _groups, _joined
 from .toxicity import fold
 
 OWN = 61_440
-CLASSES = 4_096
-CONTEXTS = OWN + CLASSES
-LOW48 = U((1 << 48) - 1)
+#: Stands for a word or context that isn't frequent.
+RARE = 0xFFFF
 #: The end of a text is a token of its own; words are never empty.
-ENDING = b""
+ENDING = U(0x9E3779B97F4A7C15)
 FLUSH = 1_000_000
-CACHE = 400_000
+#: Tokens that a bucket holds, about.
+BUCKET_TOKENS = 2_000_000
 THETA = 1.0
 
 
-class Tokens:
-    """Words of texts as 64-bit hashes and context classes, memoised."""
-
-    def __init__(self):
-        self.cache: dict[bytes, int] = {}
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all texts' tokens, each text closed by its end, and how many each text has."""
-        own = [t.encode().translate(UPPER).split() + [ENDING] for t in texts]
-        words, cache = [w for o in own for w in o], self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        digest = xxhash.xxh64_intdigest
-        # the lowest 12 bits are the word's class: a hash of its length and last three bytes
-        cache.update((w, digest(w) & ~0xFFF | digest(bytes([len(w) & 255]) + w[-3:], 1) & 0xFFF) for w in set(words).difference(cache))
-        return np.fromiter(map(cache.__getitem__, words), U, len(words)), np.fromiter(map(len, own), np.int64, len(own))
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, each text closed by its end, and how many each text has."""
+    words, lens = word_hashes(texts)
+    out = np.empty(len(words) + len(lens), U)
+    ends = np.cumsum(lens + 1) - 1
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner], out[ends] = words, ENDING
+    return out, lens + 1
 
 
 def marked(docs: DataFrame, parts: int, held: int, id_col: str, text_col: str) -> DataFrame:
@@ -74,7 +68,7 @@ def vocabulary(docs: DataFrame, own: int = OWN) -> dict:
     buckets = spread(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, hashes, counts, held = Tokens(), [], [], 0
+        hashes, counts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             h, at = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -86,8 +80,7 @@ def vocabulary(docs: DataFrame, own: int = OWN) -> dict:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "hashes", "counts"])
 
         for batch in slices(batches):
-            units, _ = cut(batch.column(0).to_pylist())
-            h, n = np.unique(units, return_counts=True)
+            h, n = np.unique(tokens_of(batch.column(0))[0], return_counts=True)
             hashes.append(h)
             counts.append(n)
             held += len(h)
@@ -114,14 +107,20 @@ def vocabulary(docs: DataFrame, own: int = OWN) -> dict:
     sent = docs.where("train").select("text").mapInArrow(send, "bucket int, hashes binary, counts binary")
     rows = written(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "hash bigint, n bigint, tokens bigint, types bigint"), "lm-words")
     total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    top = rows.orderBy(F.desc("n"), "hash").limit(own).select("hash", "n").toPandas()
+    # words under the power of two that `own` words reach need not be sorted: fewer than that many words a partition come to the driver
+    least, many = 1, 0
+    for r in sorted(rows.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        least, many = 1 << r["power"], many + r["words"]
+        if many >= own:
+            break
+    top = rows.where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(own).select("hash", "n").toPandas()
     hashes = top["hash"].to_numpy(np.int64).view(U)
     order = np.argsort(hashes)
     return {"tokens": int(total[0]), "types": int(total[1]), "hashes": hashes[order], "counts": top["n"].to_numpy(np.int64)[order]}
 
 
 #: kind 0: pairs of documents; kind 1: documents. Counts of base_score's frequent words are summed by the sender.
-SENT = "bucket int, kind int, docs binary, lens binary, contexts binary, words binary, rare binary"
+SENT = "bucket int, kind int, docs binary, lens binary, contexts binary, words binary, rare binary, rare_contexts binary"
 DOC = np.dtype([("row", U), ("id", np.int64), ("null", np.int8), ("train", np.int8), ("n", np.int64), ("known", np.int64), ("base", np.float64)])
 PART = np.dtype([("known", np.uint32), ("score", np.float32), ("base", np.float64)])
 LONG = 65_535
@@ -144,27 +143,27 @@ def _undeltas(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(x, U), dtype=U)
 
 
-def dealt(docs: DataFrame, words: dict) -> DataFrame:
-    """A written table with one row for each bucket's pairs, and rows for documents."""
+def dealt(docs: DataFrame, words: dict, buckets: int) -> DataFrame:
+    """A table with one row for each bucket's pairs, and rows for documents, kept by bucket so that joins on it leave it where it is."""
     spark = docs.sparkSession
-    buckets = spread(spark)
     shared = spark.sparkContext.broadcast({k: words[k] for k in ("hashes", "counts")})
     names = [c.split()[0] for c in SENT.split(", ")]
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, part, number = Tokens(), TaskContext.get().partitionId(), 0
+        part, number = TaskContext.get().partitionId(), 0
         frequent, counts = shared.value["hashes"], shared.value["counts"]
         logs = np.log10(counts + 1.0)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row, train, ctx, word, own = (np.concatenate(c) for c in zip(*held))
-            key = np.where(own, (word * U(0x9E3779B97F4A7C15)) ^ mix64(ctx.astype(U)), word)
-            bucket = (mix64(key) % U(buckets)).astype(np.int64)
+            row, train, ctx, ctx_hash, word, word_hash = (np.concatenate(c) for c in zip(*held))
+            own = word != RARE
+            pair = (word.astype(U) * U(0x9E3779B97F4A7C15)) ^ mix64(ctx)
+            bucket = (mix64(np.where(own, np.where(ctx != RARE, pair, ctx_hash), word_hash)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket << 41 | (~own).astype(np.int64) << 40 | (row - row[0]).astype(np.int64), kind="stable")
-            row, train, ctx, word, own, bucket = (c[order] for c in (row, train, ctx, word, own, bucket))
+            row, train, ctx, ctx_hash, word, word_hash, own, bucket = (c[order] for c in (row, train, ctx, ctx_hash, word, word_hash, own, bucket))
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             out = []
             for i, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -177,20 +176,17 @@ def dealt(docs: DataFrame, words: dict) -> DataFrame:
                     blobs.append(_packed(row[x:y][first] << U(1) | train[x:y][first], many))
                 rows = np.concatenate([blobs[0][0], blobs[1][0]])
                 head = np.array([len(blobs[0][0])], np.uint32).tobytes()
-                wide = np.ascontiguousarray(word[m:b]).view(np.uint8).reshape(-1, 8)[:, :6]
-                out.append((i, 0, _deltas(rows), head + blobs[0][1].tobytes() + blobs[1][1].tobytes(), ctx[a:b].astype(np.uint16).tobytes(), word[a:m].astype(np.uint16).tobytes(), wide.tobytes()))
+                out.append((i, 0, _deltas(rows), head + blobs[0][1].tobytes() + blobs[1][1].tobytes(), ctx[a:b].tobytes(), word[a:m].tobytes(), word_hash[m:b].tobytes(), ctx_hash[a:b][ctx[a:b] == RARE].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
         for batch in slices(batches):
-            h, lens = cut(batch.column(1).to_pylist())
+            h, lens = tokens_of(batch.column(1))
             at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
             own = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
-            ids = np.where(own, at, OWN + (h & U(0xFFF)).astype(np.int64))
+            word = np.where(own, at, RARE).astype(np.uint16)
             first = np.cumsum(lens) - lens
-            ctx = np.empty(len(ids), np.int64)
-            ctx[1:] = ids[:-1]
-            ctx[first] = ids[first + lens - 1]  # a text follows an end
-            word = np.where(own, at.astype(U), mix64(h) & LOW48)
+            before = np.arange(-1, len(h) - 1)
+            before[first] = first + lens - 1  # a text follows an end
             n = len(lens)
             row = (U(part) << U(40)) + np.arange(number, number + n, dtype=U)
             number += n
@@ -202,8 +198,8 @@ def dealt(docs: DataFrame, words: dict) -> DataFrame:
             d["known"] = np.bincount(which[own], minlength=n)
             d["base"] = np.bincount(which[own], logs[at[own]], n) if own.any() else 0
             none = pa.nulls(1, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([int(row[0] % U(buckets))], pa.int32()), pa.array([1], pa.int32()), pa.array([d.tobytes()], pa.binary()), *[none] * 4], names)
-            held.append((np.repeat(row, lens), np.repeat(train, lens).astype(U), ctx, word, own))
+            yield pa.RecordBatch.from_arrays([pa.array([int(row[0] % U(buckets))], pa.int32()), pa.array([1], pa.int32()), pa.array([d.tobytes()], pa.binary()), *[none] * 5], names)
+            held.append((np.repeat(row, lens), np.repeat(train, lens).astype(U), word[before], h[before], word, h))
             size += len(h)
             if size > FLUSH:
                 yield flush()
@@ -212,54 +208,68 @@ def dealt(docs: DataFrame, words: dict) -> DataFrame:
             yield flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each bucket: a reader that splits files between rows never splits a bucket."""
+        """One row for each bucket's pairs."""
         for bucket, held in _by_bucket(batches):
             docs_, pairs = [], []
             for b in held:
                 kind = b.column(1).to_numpy(zero_copy_only=False)
                 for i in range(b.num_rows):
-                    (docs_ if kind[i] else pairs).append([b.column(c)[i].as_py() for c in range(2, 7)])
+                    (docs_ if kind[i] else pairs).append([b.column(c)[i].as_py() for c in range(2, 8)])
             for p in docs_:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([1], pa.int32()), pa.array([p[0]], pa.binary()), *[pa.nulls(1, pa.binary())] * 4], names)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([1], pa.int32()), pa.array([p[0]], pa.binary()), *[pa.nulls(1, pa.binary())] * 5], names)
             if not pairs:
                 continue
-            front, back = [[], [], []], [[], [], []]  # rows, counts and contexts of frequent and of rare words
-            for rows, lens, ctx, word, _ in pairs:
+            front, back = [[], [], [], []], [[], [], [], []]  # rows, counts, contexts and rare contexts of frequent and of rare words
+            for rows, lens, ctx, word, _, rare in pairs:
                 n, m = int(np.frombuffer(lens[:4], np.uint32)[0]), len(word) // 2
-                rows, lens, ctx = _undeltas(rows), np.frombuffer(lens[4:], np.uint16), np.frombuffer(ctx, np.uint16)
-                for out, x in ((front, (rows[:n], lens[:n], ctx[:m])), (back, (rows[n:], lens[n:], ctx[m:]))):
+                rows, lens, ctx, rare = _undeltas(rows), np.frombuffer(lens[4:], np.uint16), np.frombuffer(ctx, np.uint16), np.frombuffer(rare, U)
+                k = int((ctx[:m] == RARE).sum())
+                for out, x in ((front, (rows[:n], lens[:n], ctx[:m], rare[:k])), (back, (rows[n:], lens[n:], ctx[m:], rare[k:]))):
                     for o, v in zip(out, x):
                         o.append(v)
-            rows, lens, ctx = (np.concatenate([*f, *b]) for f, b in zip(front, back))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in (_deltas(rows), lens.tobytes(), ctx.tobytes(), b"".join(p[3] for p in pairs), b"".join(p[4] for p in pairs)))], names)
+            rows, lens, ctx, rare = (np.concatenate([*f, *b]) for f, b in zip(front, back))
+            blobs = (_deltas(rows), lens.tobytes(), ctx.tobytes(), b"".join(p[3] for p in pairs), b"".join(p[4] for p in pairs), rare.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names)
 
     sent = docs.mapInArrow(send, SENT)
-    return written(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, SENT), "lm-pairs")
+    name = f"lm_pairs_{uuid.uuid4().hex}"
+    own = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, SENT)
+    own.write.bucketBy(buckets, "bucket").option("compression", "zstd").option("path", fresh_path(spark, "lm-pairs")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry of the catalogue only: the files are in the shared folder
+    return table
 
 
 class Bucket:
-    """A bucket's pairs: counts of training customers, and which pair each token is."""
+    """A bucket's pairs: counts of training customers, and which pair each token is. Contexts and words are numbered from OWN where they are rare."""
 
-    def __init__(self, row: list):
-        _, _, rows, lens, ctx, word, rare = row
+    def __init__(self, rows: bytes, lens: bytes, contexts: bytes, words: bytes, rare: bytes, rare_contexts: bytes):
         self.entries, self.lens = _undeltas(rows), np.frombuffer(lens, np.uint16)
-        word = np.frombuffer(word, np.uint16)
-        wide = np.zeros((len(rare) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(rare, np.uint8).reshape(-1, 6)
-        self.rare_words, local = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+        word, short = np.frombuffer(words, np.uint16), np.frombuffer(contexts, np.uint16)
+        self.rare_words, local = np.unique(np.frombuffer(rare, U), return_inverse=True)
         train = np.repeat((self.entries & U(1)).astype(bool), self.lens)
-        code = np.concatenate([word.astype(np.int64), CONTEXTS + local])  # frequent words by number, rare ones behind them
-        key = code << 16 | np.frombuffer(ctx, np.uint16)
-        del local, code, wide
+        key = np.concatenate([word.astype(np.int64), OWN + local]) << 32
+        del local
+        self.rare_contexts, local = np.unique(np.frombuffer(rare_contexts, U), return_inverse=True)
+        context = short.astype(np.int64)
+        context[short == RARE] = OWN + local
+        key |= context
+        del local, context
         self.keys, pair = np.unique(key, return_inverse=True)
         self.pair = pair.astype(np.int32)
         del key, pair
         self.count = np.bincount(self.pair[train], minlength=len(self.keys)).astype(np.int64)
-        self.context, self.word = self.keys & 0xFFFF, self.keys >> 16
-        self.rare = self.word >= CONTEXTS
-        self.local = self.word[self.rare] - CONTEXTS
+        self.context, self.word = self.keys & 0xFFFFFFFF, self.keys >> 32
+        self.contexts = OWN + len(self.rare_contexts)
+        self.rare = self.word >= OWN
+        self.local = self.word[self.rare] - OWN
         self.seen = np.bincount(self.local, self.count[self.rare], len(self.rare_words)).astype(np.int64)
 
+    def by_context(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of a value of each pair by frequent context and by rare context."""
+        out = np.bincount(self.context, values, self.contexts)
+        return out[:OWN], out[OWN:]
+
 
 def seat(rng: np.random.Generator, count: np.ndarray, d: np.ndarray | float, fresh: np.ndarray) -> np.ndarray:
     """Tables that `count` customers of a dish take when each joins one with weight (customers - d * tables) or opens one with weight `fresh`.
@@ -286,8 +296,8 @@ def parent(tables: np.ndarray, own: np.ndarray, g: dict) -> np.ndarray:
     return (np.maximum(tables - g["d1"] * own, 0) + (THETA + g["d1"] * g["roots"]) * g["base"]) / (THETA + g["customers"])
 
 
-def sweep(b: Bucket, g: dict, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One seating of a bucket: tables of each pair, and each rare word's customers and tables in the parent."""
+def sweep(b: Bucket, g: dict, tables_of: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One seating of a bucket: tables of each pair, and each rare word's customers and tables in the parent. tables_of: tables of the bucket's contexts, frequent ones first."""
     rng = np.random.default_rng(seed)
     tables = np.minimum(b.count, 1)
     up = np.bincount(b.local, tables[b.rare], len(b.rare_words)).astype(np.int64)
@@ -297,26 +307,118 @@ def sweep(b: Bucket, g: dict, seed: int) -> tuple[np.ndarray, np.ndarray, np.nda
         p = np.empty(len(b.keys))
         p[~b.rare] = g["p1"][b.word[~b.rare]]
         p[b.rare] = parent(up, own, g)[b.local]
-        ctx = b.context[many]
-        tables[many] = seat(rng, b.count[many], g["d"], (THETA + g["d"] * g["tables"][ctx]) * p[many])
+        tables[many] = seat(rng, b.count[many], g["d"], (THETA + g["d"] * tables_of[b.context[many]]) * p[many])
         up = np.bincount(b.local, tables[b.rare], len(b.rare_words)).astype(np.int64)
         own = seat(rng, up, g["d1"], np.full(len(up), (THETA + g["d1"] * g["roots"]) * g["base"]))
     return tables, up, own
 
 
+def predictive(b: Bucket, g: dict, served: np.ndarray, tables_of: np.ndarray, seed: int) -> np.ndarray:
+    """Probability of each pair's word in its context, by one seating. served, tables_of: customers and tables of the bucket's contexts."""
+    t, up, own = sweep(b, g, tables_of, seed)
+    low = np.empty(len(b.keys))
+    low[~b.rare] = g["p1"][b.word[~b.rare]]
+    low[b.rare] = parent(up, own, g)[b.local]
+    return (np.maximum(b.count - g["d"] * t, 0) + (THETA + g["d"] * tables_of[b.context]) * low) / (THETA + served[b.context])
+
+
 CHUNK = 1024
+#: kind 0: a chunk (other) of sums by frequent word; kind 1: a bucket's (other) contexts of the home `bucket`: hashes, customers, tables.
+ROUND = "kind int, bucket int, other int, a binary, b binary, c binary"
+#: What a home tells: kind 0: to itself, which of its contexts a bucket (other) has; kind 1: to a bucket, the customers and tables of its contexts of the home (other).
+TOLD = "kind int, bucket int, other int, a binary, b binary"
+PAIR_COLUMNS = ["bucket", "docs", "lens", "contexts", "words", "rare", "rare_contexts"]
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int32() if c.endswith(" int") else pa.binary() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def told(b: Bucket, blobs: list | None, buckets: int) -> np.ndarray:
+    """Values of a bucket's rare contexts, of what their homes told (in the order of the homes)."""
+    out = np.zeros(len(b.rare_contexts), np.float64)
+    order = np.argsort(mix64(b.rare_contexts) % U(buckets), kind="stable")
+    out[order] = np.frombuffer(b"".join(x["v"] for x in blobs or []), np.uint32)
+    return out
+
+
+def messages(b: Bucket, bucket: int, customers: np.ndarray, tables: np.ndarray, buckets: int, first: bool) -> list[tuple]:
+    """A row for each home of the bucket's rare contexts. Only the first round has hashes and customers."""
+    home = (mix64(b.rare_contexts) % U(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(home[order]) != 0)).tolist() if len(order) else []
+    out = []
+    for x, y in zip(cuts, [*cuts[1:], len(order)]):
+        i = order[x:y]
+        own = (b.rare_contexts[i].tobytes(), customers[i].astype(np.uint32).tobytes()) if first else (None, None)
+        out.append((1, int(home[i[0]]), bucket, *own, tables[i].astype(np.uint32).tobytes()))
+    return out
+
+
+class Homes:
+    """Sums of rare contexts over the buckets that have them."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.layout = buckets, None
+
+    def add(self, sent: DataFrame) -> DataFrame:
+        """(bucket, other, a, b): what homes tell, of the messages of one round."""
+        buckets, first = self.buckets, self.layout is None
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for home, held in _by_bucket(batches):
+                rows = [r for b in held for r in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
+                if first:
+                    senders = [r[1] for r in rows]
+                    size = [len(r[2]) // 8 for r in rows]
+                    names, inverse = np.unique(np.frombuffer(b"".join(r[2] for r in rows), U), return_inverse=True)
+                    places = dict(zip(senders, np.split(inverse, np.cumsum(size)[:-1])))
+                    sums = [np.bincount(inverse, np.frombuffer(b"".join(r[i] for r in rows), np.uint32), len(names)) for i in (3, 4)]
+                    out = [(0, home, s, p.astype(np.uint32).tobytes(), None) for s, p in places.items()]
+                else:
+                    places = {r[1]: np.frombuffer(r[2], np.uint32) for r in rows if not r[0]}
+                    own = {r[1]: np.frombuffer(r[4], np.uint32) for r in rows if r[0]}
+                    total = np.zeros(1 + max(int(p.max()) for p in places.values()))
+                    for s, p in places.items():
+                        np.add.at(total, p, own[s])
+                    sums, out = [total], []
+                for s, p in places.items():
+                    a = sums[0][p].astype(np.uint32).tobytes() if first else None
+                    out.append((1, s, home, a, sums[-1][p].astype(np.uint32).tobytes()))
+                yield _rows(out, TOLD)
+
+        sent = sent.where("kind = 1").select("bucket", "kind", "other", "a", "b", "c")
+        if not first:
+            sent = sent.union(self.layout.select("bucket", F.lit(0).alias("kind"), "other", "a", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+        got = written(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, TOLD), "lm-homes")
+        if first:
+            self.layout = got.where("kind = 0").select("bucket", "other", "a")
+        return got.where("kind = 1").select("bucket", "other", "a", "b")
+
 
+def by_bucket(told_: DataFrame, column: str, name: str) -> DataFrame:
+    """(bucket, name): one column of what homes told, a row for each bucket, in the order of the homes."""
+    x = told_.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("other", F.col(column).alias("v")))).alias("x"))
+    return x.select("bucket", F.transform("x", lambda s: F.struct(s["v"].alias("v"))).alias(name))
 
-def _sums(pairs: DataFrame, each, size: int) -> np.ndarray:
-    """Sum over all buckets of the arrays (of `size`) that `each` makes of a bucket: by chunks, so no task holds more than its chunks, and the driver gets one array."""
+
+def _sums(pairs: DataFrame, homes: Homes, each: Callable, size: int) -> tuple[np.ndarray, DataFrame]:
+    """Sums over all buckets of the arrays (of `size`) that `each` makes of a bucket, and what homes tell of its rare contexts. Arrays are summed by chunks, so no task holds more than its chunks, and the driver gets one array."""
+
+    buckets, first = homes.buckets, homes.layout is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             for i in range(batch.num_rows):
-                total += each(Bucket([batch.column(c)[i].as_py() for c in range(7)]), batch.column(0)[i].as_py())
-        parts = [(i, total[i * CHUNK : (i + 1) * CHUNK].tobytes()) for i in range(-(-size // CHUNK))]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "sums"])
+                bucket, *blobs = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
+                b = Bucket(*blobs[:6])
+                own, customers, tables = each(b, bucket, blobs[6:])
+                total += own
+                yield _rows(messages(b, bucket, customers, tables, buckets, first), ROUND)
+        yield _rows([(0, i, 0, total[i * CHUNK : (i + 1) * CHUNK].tobytes(), None, None) for i in range(-(-size // CHUNK))], ROUND)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -327,29 +429,33 @@ def _sums(pairs: DataFrame, each, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["bucket", "sums"])
 
     n = spread(pairs.sparkSession)
-    rows = pairs.where("kind = 0").mapInArrow(run, "bucket int, sums binary").repartition(n, "bucket").mapInArrow(add, "bucket int, sums binary").collect()
+    sent = written(pairs.mapInArrow(run, ROUND), "lm-sweep")
+    rows = sent.where("kind = 0").select("bucket", F.col("a").alias("sums")).repartition(n, "bucket").mapInArrow(add, "bucket int, sums binary").collect()
     out = np.zeros(-(-size // CHUNK) * CHUNK)
     for r in rows:
         x = np.frombuffer(r["sums"], np.float64)
         out[r["bucket"] * CHUNK : r["bucket"] * CHUNK + len(x)] = x
-    return out[:size]
+    return out[:size], homes.add(sent)
 
 
-def gibbs(pairs: DataFrame, words: dict, burn: int, samples: int, seed: int) -> list[dict]:
-    """The state that each of the `samples` seatings is drawn from: tables and customers of contexts, the parent's probabilities of frequent words, and its totals."""
+def gibbs(pairs: DataFrame, words: dict, buckets: int, burn: int, samples: int, seed: int) -> tuple[list[dict], DataFrame, list[DataFrame]]:
+    """The state that each of the `samples` seatings is drawn from: tables and customers of frequent contexts, the parent's probabilities of frequent words, and its totals; then rare contexts' customers, and their tables in each state."""
     extra = 8  # rare words' customers, tables; pairs with one and two customers; rare words with one and two customers
+    homes = Homes(buckets)
 
-    def first(b: Bucket, _: int) -> np.ndarray:
-        out = np.zeros(3 * CONTEXTS + extra)
-        out[:CONTEXTS] = np.bincount(b.context, b.count, CONTEXTS)
-        out[CONTEXTS : 2 * CONTEXTS] = np.bincount(b.context, b.count > 0, CONTEXTS)
-        out[2 * CONTEXTS : 3 * CONTEXTS] = np.bincount(b.word[~b.rare], b.count[~b.rare] > 0, CONTEXTS)
+    def first(b: Bucket, *_) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.zeros(3 * OWN + extra)
+        out[:OWN], customers = b.by_context(b.count)
+        out[OWN : 2 * OWN], tables = b.by_context(b.count > 0)
+        out[2 * OWN : 3 * OWN] = np.bincount(b.word[~b.rare], b.count[~b.rare] > 0, OWN)
         up = np.bincount(b.local, b.count[b.rare] > 0, len(b.rare_words))
-        out[3 * CONTEXTS :] = [up.sum(), (up > 0).sum(), (b.count == 1).sum(), (b.count == 2).sum(), (up == 1).sum(), (up == 2).sum(), 0, 0]
-        return out
+        out[3 * OWN :] = [up.sum(), (up > 0).sum(), (b.count == 1).sum(), (b.count == 2).sum(), (up == 1).sum(), (up == 2).sum(), 0, 0]
+        return out, customers, tables
 
-    got = _sums(pairs, first, 3 * CONTEXTS + extra)
-    customers, tables, up, rest = got[:CONTEXTS], got[CONTEXTS : 2 * CONTEXTS], got[2 * CONTEXTS : 3 * CONTEXTS], got[3 * CONTEXTS :]
+    own_pairs = pairs.where("kind = 0").select(*PAIR_COLUMNS)
+    got, rare = _sums(own_pairs, homes, first, 3 * OWN + extra)
+    rare_customers, rare_tables = by_bucket(rare, "a", "customers"), [by_bucket(rare, "b", "tables")]
+    customers, tables, up, rest = got[:OWN], got[OWN : 2 * OWN], got[2 * OWN : 3 * OWN], got[3 * OWN :]
     ones, twos = rest[4] + (up == 1).sum(), rest[5] + (up == 2).sum()
     d = float(np.clip(rest[2] / max(rest[2] + 2 * rest[3], 1), 0.1, 0.95))
     d1 = float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
@@ -361,73 +467,84 @@ def gibbs(pairs: DataFrame, words: dict, burn: int, samples: int, seed: int) ->
         if s:
             now = states[-1]
 
-            def again(b: Bucket, bucket: int, now=now, s=s) -> np.ndarray:
-                t, rare_up, rare_own = sweep(b, now, (seed * 1_000_003 + (s - 1) * 7_919 + bucket) & 0x7FFFFFFF)
-                out = np.zeros(2 * CONTEXTS + 2)
-                out[:CONTEXTS] = np.bincount(b.context, t, CONTEXTS)
-                out[CONTEXTS : 2 * CONTEXTS] = np.bincount(b.word[~b.rare], t[~b.rare], CONTEXTS)
+            def again(b: Bucket, bucket: int, local: list, now=now, s=s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                t, rare_up, rare_own = sweep(b, now, np.concatenate([now["tables"], told(b, local[0], buckets)]), sweep_seed(seed, s - 1, bucket))
+                out = np.zeros(2 * OWN + 2)
+                out[:OWN], own = b.by_context(t)
+                out[OWN : 2 * OWN] = np.bincount(b.word[~b.rare], t[~b.rare], OWN)
                 out[-2:] = rare_up.sum(), rare_own.sum()
-                return out
+                return out, own, own
 
-            got = _sums(pairs, again, 2 * CONTEXTS + 2)
-            tables, up, rest = got[:CONTEXTS], got[CONTEXTS : 2 * CONTEXTS], got[-2:]
+            got, rare = _sums(own_pairs.join(rare_tables[-1], "bucket", "left"), homes, again, 2 * OWN + 2)
+            rare_tables.append(by_bucket(rare, "b", "tables"))
+            tables, up, rest = got[:OWN], got[OWN : 2 * OWN], got[-2:]
         total = float(up.sum() + rest[0])
-        own = seat(rng, up.astype(np.int64), d1, np.full(CONTEXTS, (THETA + d1 * roots) * base))
+        own = seat(rng, up.astype(np.int64), d1, np.full(OWN, (THETA + d1 * roots) * base))
         roots = float(own.sum() + rest[1])
         g = {"d": d, "d1": d1, "base": base, "roots": roots, "customers": total, "tables": tables, "served": customers}
         g["p1"] = parent(up, own, g)
         states.append(g)
-    return states[burn:]
+    return states[burn:], rare_customers, rare_tables[burn:]
+
+
+def sweep_seed(seed: int, step: int, bucket: int) -> int:
+    return (seed * 1_000_003 + step * 7_919 + bucket) & 0x7FFFFFFF
 
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 1, samples: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 2, samples: int = 2, seed: int = 7, own: int = OWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row.
 
     Rows with crc32(doc_id as text) mod `parts` other than `held` train. Words
     are lower-cased in A-Z. A null or empty text is the end token alone. Rows
     that repeat a doc_id, or have none, are documents of their own; rows
     without an id train. With no training rows every known count is zero.
+    own: how many words are kept as arrays, OWN at most; the model is the same
+    for every number.
     """
     spark = docs.sparkSession
     base = marked(docs, parts, held, id_col, text_col)
-    words = vocabulary(base)
-    pairs = dealt(base, words)
-    states = spark.sparkContext.broadcast(gibbs(pairs, words, burn, samples, seed))
-    buckets = spread(spark)
+    words = vocabulary(base, own)
+    buckets = max(spread(spark), words["tokens"] // BUCKET_TOKENS)
+    pairs = dealt(base, words, buckets)
+    found, rare_customers, rare_tables = gibbs(pairs, words, buckets, burn, samples, seed)
+    states = spark.sparkContext.broadcast(found)
+
+    def doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                rows = np.frombuffer(blob, DOC)
+                key = (mix64(rows["row"]) % U(buckets)).astype(np.int32)
+                yield parcels([(int(k), rows[key == k].tobytes(), *[None] * 4) for k in np.unique(key)])
+
+    def parcels(blobs: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in blobs], pa.int32()), *(pa.array([x[c] for x in blobs], pa.binary()) for c in range(1, 6))], ["bucket", "docs", "rows", *PART.names])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if kind:
-                    rows = np.frombuffer(batch.column(2)[i].as_py(), DOC)
-                    key = (mix64(rows["row"]) % U(buckets)).astype(np.int32)
-                    blobs = [(int(k), rows[key == k].tobytes(), *[None] * 4) for k in np.unique(key)]
-                else:
-                    b = Bucket([batch.column(c)[i].as_py() for c in range(7)])
-                    p = np.zeros(len(b.keys))
-                    for s, g in enumerate(states.value, burn):  # the seats that the next sweep draws from this state
-                        t, up, own = sweep(b, g, (seed * 1_000_003 + s * 7_919 + bucket) & 0x7FFFFFFF)
-                        low = np.empty(len(b.keys))
-                        low[~b.rare] = g["p1"][b.word[~b.rare]]
-                        low[b.rare] = parent(up, own, g)[b.local]
-                        p += (np.maximum(b.count - g["d"] * t, 0) + (THETA + g["d"] * g["tables"][b.context]) * low) / (THETA + g["served"][b.context])
-                    logs = np.log10(p / len(states.value))
-                    known = np.zeros(len(b.keys), np.int64)
-                    known[b.rare] = b.seen[b.local]
-                    flat = np.log10(known + 1.0)
-                    some = np.flatnonzero(b.lens)  # entries of documents, each with its tokens side by side
-                    first = np.cumsum(b.lens, dtype=np.int64)[some] - b.lens[some]
-                    row, at = np.unique(b.entries[some] >> U(1), return_inverse=True)
-                    rows = np.zeros(len(row), PART)
-                    rows["score"] = np.bincount(at, np.add.reduceat(logs[b.pair], first), len(row))
-                    rows["known"] = np.bincount(at, np.add.reduceat((known > 0).astype(np.int64)[b.pair], first), len(row))
-                    rows["base"] = np.bincount(at, np.add.reduceat(flat[b.pair], first), len(row))
-                    key = (mix64(row) % U(buckets)).astype(np.int32)
-                    order = np.argsort(key, kind="stable")
-                    edges = np.searchsorted(key[order], np.arange(buckets + 1))
-                    blobs = [(k, None, _deltas(row[order[x:y]]), *(rows[c][order[x:y]].tobytes() for c in PART.names)) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blobs], pa.int32()), *(pa.array([x[c] for x in blobs], pa.binary()) for c in range(1, 6))], ["bucket", "docs", "rows", *PART.names])
+                bucket, *blobs = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
+                b = Bucket(*blobs[:6])
+                served = told(b, blobs[6], buckets)
+                p = np.zeros(len(b.keys))
+                for s, (g, local) in enumerate(zip(states.value, blobs[7:]), burn):  # the seats that the next sweep draws from this state
+                    tables = np.concatenate([g["tables"], told(b, local, buckets)])
+                    p += predictive(b, g, np.concatenate([g["served"], served]), tables, sweep_seed(seed, s, bucket))
+                logs = np.log10(p / len(states.value))
+                known = np.zeros(len(b.keys), np.int64)
+                known[b.rare] = b.seen[b.local]
+                flat = np.log10(known + 1.0)
+                some = np.flatnonzero(b.lens)  # entries of documents, each with its tokens side by side
+                first = np.cumsum(b.lens, dtype=np.int64)[some] - b.lens[some]
+                row, at = np.unique(b.entries[some] >> U(1), return_inverse=True)
+                rows = np.zeros(len(row), PART)
+                rows["score"] = np.bincount(at, np.add.reduceat(logs[b.pair], first), len(row))
+                rows["known"] = np.bincount(at, np.add.reduceat((known > 0).astype(np.int64)[b.pair], first), len(row))
+                rows["base"] = np.bincount(at, np.add.reduceat(flat[b.pair], first), len(row))
+                key = (mix64(row) % U(buckets)).astype(np.int32)
+                order = np.argsort(key, kind="stable")
+                edges = np.searchsorted(key[order], np.arange(buckets + 1))
+                blobs = [(k, None, _deltas(row[order[x:y]]), *(rows[c][order[x:y]].tobytes() for c in PART.names)) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+                yield parcels(blobs)
 
     n_train, n_types = words["tokens"], words["types"]
 
@@ -445,6 +562,10 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 1, samples
             cols = [ids, pa.array(d["train"] == 0), pa.array(d["n"].copy()), pa.array(known), pa.array(np.full(len(d), n_train, np.int64)), pa.array(flat), pa.array(own), pa.array(10 ** (-own / d["n"]))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    sent = pairs.mapInArrow(judge, "bucket int, docs binary, rows binary, known binary, score binary, base binary")
+    parcel = "bucket int, docs binary, rows binary, known binary, score binary, base binary"
+    judged = pairs.where("kind = 0").select(*PAIR_COLUMNS).join(rare_customers, "bucket", "left")
+    for k, t in enumerate(rare_tables):
+        judged = judged.join(t.withColumnRenamed("tables", f"tables_{k}"), "bucket", "left")
+    sent = judged.mapInArrow(judge, parcel).union(pairs.where("kind = 1").select("docs").mapInArrow(doc_rows, parcel))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(total, schema)

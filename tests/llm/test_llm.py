@@ -591,6 +591,99 @@ def test_predictive_probabilities_sum_to_one():
     assert p.sum() == pytest.approx(1)
 
 
+def dense_model(train, tests, sweeps=60, keep=40, seed=3):
+    """Mean log10 probabilities of texts (lists of words) by the model as its docstring defines it: every customer seated by itself, all counts in dictionaries."""
+    rng = random.Random(seed)
+    ending = ("end",)
+    pairs = lambda ws: list(zip([ending, *ws], [*ws, ending]))
+    count = Counter(p for ws in train for p in pairs(ws))
+    served = Counter()
+    for (u, _), n in count.items():
+        served[u] += n
+    types = {w for _, w in count}
+    base = 1 / (len(types) + 1)
+    bound = lambda ones, twos: min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+    ups = Counter(w for _, w in count)
+    d = bound(sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values()))
+    d1 = bound(sum(n == 1 for n in ups.values()), sum(n == 2 for n in ups.values()))
+    theta = pitman_yor.THETA
+
+    def seats(n, d, fresh):
+        t = min(n, 1)
+        for sat in range(1, n):
+            t += rng.random() < fresh / (sat - d * t + fresh)
+        return t
+
+    tables, total = dict.fromkeys(count, 1), Counter()
+    for s in range(sweeps):
+        by_context, up = Counter(), Counter()
+        for (u, w), t in tables.items():
+            by_context[u] += t
+            up[w] += t
+        roots = {w: 1 for w in up} if not s else roots
+        fresh = (theta + d1 * sum(roots.values())) * base
+        roots = {w: seats(up[w], d1, fresh) for w in sorted(up, key=str)}
+        customers, root_sum = sum(up.values()), sum(roots.values())
+        low = lambda w: (max(up[w] - d1 * roots.get(w, 0), 0) + (theta + d1 * root_sum) * base) / (theta + customers)  # noqa: E731, B023
+        if s >= sweeps - keep:
+            for k, ws in enumerate(tests):
+                for j, (u, w) in enumerate(pairs(ws)):
+                    total[k, j] += (max(count[u, w] - d * tables.get((u, w), 0), 0) + (theta + d * by_context[u]) * low(w)) / (theta + served[u]) / keep
+        tables = {(u, w): seats(n, d, (theta + d * by_context[u]) * low(w)) for (u, w), n in sorted(count.items(), key=str)}
+    return [sum(math.log10(total[k, j]) for j in range(len(ws) + 1)) for k, ws in enumerate(tests)]
+
+
+@pytest.mark.parametrize("own, burn, samples, off", [(pitman_yor.OWN, 1, 2, 0.02), (40, 2, 2, 0.02), (1, 6, 4, 0.01)])
+def test_language_model_scores_as_dense_model(spark, own, burn, samples, off):
+    rng = random.Random(5)
+    vocabulary = [prose(rng, 1) for _ in range(300)]
+    rank = [1 / (i + 1) for i in range(300)]
+    follow = {w: rng.choices(vocabulary, rank, k=6) for w in vocabulary}
+    texts = []
+    for _ in range(300):
+        ws = rng.choices(vocabulary, rank)
+        while len(ws) < 40:
+            ws.append(rng.choice(follow[ws[-1]]) if rng.random() < 0.7 else rng.choices(vocabulary, rank)[0])
+        texts.append(ws)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(300)]
+    want = dense_model([t for t, h in zip(texts, held) if not h], texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, own=own, burn=burn, samples=samples).collect()}
+    error = [abs(got[i] - w) / abs(w) for i, w in enumerate(want)]
+    assert max(error) < 4 * off and sum(error) / len(error) < off
+
+
+def test_grouped_seats_follow_single_ones():
+    rng = np.random.default_rng(1)
+    for n in (20, 200, 2000):
+        for fresh in (0.05, 2.0):
+            alone = []
+            for _ in range(200):
+                t = 1
+                for sat in range(1, n):
+                    t += rng.random() < fresh / (sat - 0.6 * t + fresh)
+                alone.append(t)
+            grouped = pitman_yor.seat(rng, np.full(2000, n), 0.6, np.full(2000, fresh))
+            assert grouped.mean() == pytest.approx(np.mean(alone), rel=0.1, abs=0.1)
+
+
+def test_word_hashes():
+    from helioscope.llm.common import word_hashes
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aAbB \t\n\x0b\x1cé日") for _ in range(rng.randint(0, 30))) for _ in range(2000)] + ["x" * 3_000_000 + " y", "", "Y"]
+    hashes, lens = word_hashes(pa.array(texts).slice(7))
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [WORD.findall(t.translate(low)) for t in texts[7:]]
+    assert lens.tolist() == [len(w) for w in words]
+    names = defaultdict(set)
+    for w, h in zip((w for ws in words for w in ws), hashes.tolist()):
+        names[w].add(h)
+    assert all(len(x) == 1 for x in names.values()) and len(set.union(*names.values())) == len(names)
+
+
 def test_language_model_empty(empty, spark):
     assert pitman_yor.score(empty).count() == 0
     only = spark.createDataFrame([(i, "a b") for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string")
