@@ -41,9 +41,10 @@ OWN = 61_440
 RARE = 0xFFFF
 #: The end of a text is a token of its own; words are never empty.
 ENDING = U(0x9E3779B97F4A7C15)
-FLUSH = 1_000_000
-#: Tokens that a bucket holds, about.
-BUCKET_TOKENS = 2_000_000
+FLUSH = 500_000
+#: Tokens that a bucket holds, about, as long as Spark allows for that many buckets.
+BUCKET_TOKENS = 1_000_000
+MOST_BUCKETS = 100_000
 THETA = 1.0
 
 
@@ -173,7 +174,7 @@ def dealt(docs: DataFrame, words: dict, buckets: int) -> DataFrame:
                 blobs = []
                 for x, y in ((a, m), (m, b)):
                     _, first, many = _groups(row[x:y])
-                    blobs.append(_packed(row[x:y][first] << U(1) | train[x:y][first], many))
+                    blobs.append(_packed(row[x:y][first] << U(1) | train[x:y][first].astype(U), many))
                 rows = np.concatenate([blobs[0][0], blobs[1][0]])
                 head = np.array([len(blobs[0][0])], np.uint32).tobytes()
                 out.append((i, 0, _deltas(rows), head + blobs[0][1].tobytes() + blobs[1][1].tobytes(), ctx[a:b].tobytes(), word[a:m].tobytes(), word_hash[m:b].tobytes(), ctx_hash[a:b][ctx[a:b] == RARE].tobytes()))
@@ -199,7 +200,7 @@ def dealt(docs: DataFrame, words: dict, buckets: int) -> DataFrame:
             d["base"] = np.bincount(which[own], logs[at[own]], n) if own.any() else 0
             none = pa.nulls(1, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([int(row[0] % U(buckets))], pa.int32()), pa.array([1], pa.int32()), pa.array([d.tobytes()], pa.binary()), *[none] * 5], names)
-            held.append((np.repeat(row, lens), np.repeat(train, lens).astype(U), word[before], h[before], word, h))
+            held.append((np.repeat(row, lens), np.repeat(train, lens).astype(np.uint8), word[before], h[before], word, h))
             size += len(h)
             if size > FLUSH:
                 yield flush()
@@ -214,15 +215,16 @@ def dealt(docs: DataFrame, words: dict, buckets: int) -> DataFrame:
             for b in held:
                 kind = b.column(1).to_numpy(zero_copy_only=False)
                 for i in range(b.num_rows):
-                    (docs_ if kind[i] else pairs).append([b.column(c)[i].as_py() for c in range(2, 8)])
+                    (docs_ if kind[i] else pairs).append([b.column(c)[i].as_buffer() for c in range(2, 8)])
             for p in docs_:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([1], pa.int32()), pa.array([p[0]], pa.binary()), *[pa.nulls(1, pa.binary())] * 5], names)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([1], pa.int32()), pa.array([p[0].to_pybytes()], pa.binary()), *[pa.nulls(1, pa.binary())] * 5], names)
             if not pairs:
                 continue
             front, back = [[], [], [], []], [[], [], [], []]  # rows, counts, contexts and rare contexts of frequent and of rare words
             for rows, lens, ctx, word, _, rare in pairs:
-                n, m = int(np.frombuffer(lens[:4], np.uint32)[0]), len(word) // 2
-                rows, lens, ctx, rare = _undeltas(rows), np.frombuffer(lens[4:], np.uint16), np.frombuffer(ctx, np.uint16), np.frombuffer(rare, U)
+                lens, m = np.frombuffer(lens, np.uint8), len(word) // 2
+                n = int(lens[:4].copy().view(np.uint32)[0])
+                rows, lens, ctx, rare = _undeltas(rows), lens[4:].copy().view(np.uint16), np.frombuffer(ctx, np.uint16), np.frombuffer(rare, U)
                 k = int((ctx[:m] == RARE).sum())
                 for out, x in ((front, (rows[:n], lens[:n], ctx[:m], rare[:k])), (back, (rows[n:], lens[n:], ctx[m:], rare[k:]))):
                     for o, v in zip(out, x):
@@ -336,11 +338,17 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
-def told(b: Bucket, blobs: list | None, buckets: int) -> np.ndarray:
-    """Values of a bucket's rare contexts, of what their homes told (in the order of the homes)."""
+def opened(batch: pa.RecordBatch, i: int) -> tuple[int, Bucket, list]:
+    """A row's bucket, its pairs, and what homes told it."""
+    own = Bucket(*(batch.column(c)[i].as_buffer() for c in range(1, 7)))
+    return batch.column(0)[i].as_py(), own, (batch.column(7)[i].as_py() or []) if batch.num_columns > 7 else []
+
+
+def told(b: Bucket, blobs: list, part: int, buckets: int) -> np.ndarray:
+    """Values of a bucket's rare contexts, of one part of what their homes told."""
     out = np.zeros(len(b.rare_contexts), np.float64)
     order = np.argsort(mix64(b.rare_contexts) % U(buckets), kind="stable")
-    out[order] = np.frombuffer(b"".join(x["v"] for x in blobs or []), np.uint32)
+    out[order] = np.frombuffer(b"".join(x["v"] for x in blobs if x["part"] == part), np.uint32)
     return out
 
 
@@ -398,10 +406,14 @@ class Homes:
         return got.where("kind = 1").select("bucket", "other", "a", "b")
 
 
-def by_bucket(told_: DataFrame, column: str, name: str) -> DataFrame:
-    """(bucket, name): one column of what homes told, a row for each bucket, in the order of the homes."""
-    x = told_.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("other", F.col(column).alias("v")))).alias("x"))
-    return x.select("bucket", F.transform("x", lambda s: F.struct(s["v"].alias("v"))).alias(name))
+def with_told(pairs: DataFrame, *parts: tuple[DataFrame, str]) -> DataFrame:
+    """pairs with a column `told`: for each bucket what homes told, of each part (what `Homes.add` gave, one of its columns) in turn, in the order of the homes. Hashed by the small side, so the pairs are neither moved nor sorted."""
+    rows = None
+    for k, (told_, column) in enumerate(parts):
+        own = told_.select("bucket", F.lit(k).alias("part"), "other", F.col(column).alias("v"))
+        rows = own if rows is None else rows.union(own)
+    x = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("part", "other", "v"))).alias("x"))
+    return pairs.join(x.select("bucket", F.transform("x", lambda s: F.struct(s["part"].alias("part"), s["v"].alias("v"))).alias("told")).hint("shuffle_hash"), "bucket", "left")
 
 
 def _sums(pairs: DataFrame, homes: Homes, each: Callable, size: int) -> tuple[np.ndarray, DataFrame]:
@@ -413,9 +425,8 @@ def _sums(pairs: DataFrame, homes: Homes, each: Callable, size: int) -> tuple[np
         total = np.zeros(size)
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, *blobs = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
-                b = Bucket(*blobs[:6])
-                own, customers, tables = each(b, bucket, blobs[6:])
+                bucket, b, local = opened(batch, i)
+                own, customers, tables = each(b, bucket, local)
                 total += own
                 yield _rows(messages(b, bucket, customers, tables, buckets, first), ROUND)
         yield _rows([(0, i, 0, total[i * CHUNK : (i + 1) * CHUNK].tobytes(), None, None) for i in range(-(-size // CHUNK))], ROUND)
@@ -439,7 +450,7 @@ def _sums(pairs: DataFrame, homes: Homes, each: Callable, size: int) -> tuple[np
 
 
 def gibbs(pairs: DataFrame, words: dict, buckets: int, burn: int, samples: int, seed: int) -> tuple[list[dict], DataFrame, list[DataFrame]]:
-    """The state that each of the `samples` seatings is drawn from: tables and customers of frequent contexts, the parent's probabilities of frequent words, and its totals; then rare contexts' customers, and their tables in each state."""
+    """The state that each of the `samples` seatings is drawn from: tables and customers of frequent contexts, the parent's probabilities of frequent words, and its totals; then what homes told of customers, and of tables in each state."""
     extra = 8  # rare words' customers, tables; pairs with one and two customers; rare words with one and two customers
     homes = Homes(buckets)
 
@@ -454,7 +465,7 @@ def gibbs(pairs: DataFrame, words: dict, buckets: int, burn: int, samples: int,
 
     own_pairs = pairs.where("kind = 0").select(*PAIR_COLUMNS)
     got, rare = _sums(own_pairs, homes, first, 3 * OWN + extra)
-    rare_customers, rare_tables = by_bucket(rare, "a", "customers"), [by_bucket(rare, "b", "tables")]
+    told_ = [rare]
     customers, tables, up, rest = got[:OWN], got[OWN : 2 * OWN], got[2 * OWN : 3 * OWN], got[3 * OWN :]
     ones, twos = rest[4] + (up == 1).sum(), rest[5] + (up == 2).sum()
     d = float(np.clip(rest[2] / max(rest[2] + 2 * rest[3], 1), 0.1, 0.95))
@@ -468,15 +479,15 @@ def gibbs(pairs: DataFrame, words: dict, buckets: int, burn: int, samples: int,
             now = states[-1]
 
             def again(b: Bucket, bucket: int, local: list, now=now, s=s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                t, rare_up, rare_own = sweep(b, now, np.concatenate([now["tables"], told(b, local[0], buckets)]), sweep_seed(seed, s - 1, bucket))
+                t, rare_up, rare_own = sweep(b, now, np.concatenate([now["tables"], told(b, local, 0, buckets)]), sweep_seed(seed, s - 1, bucket))
                 out = np.zeros(2 * OWN + 2)
                 out[:OWN], own = b.by_context(t)
                 out[OWN : 2 * OWN] = np.bincount(b.word[~b.rare], t[~b.rare], OWN)
                 out[-2:] = rare_up.sum(), rare_own.sum()
                 return out, own, own
 
-            got, rare = _sums(own_pairs.join(rare_tables[-1], "bucket", "left"), homes, again, 2 * OWN + 2)
-            rare_tables.append(by_bucket(rare, "b", "tables"))
+            got, rare = _sums(with_told(own_pairs, (rare, "b")), homes, again, 2 * OWN + 2)
+            told_.append(rare)
             tables, up, rest = got[:OWN], got[OWN : 2 * OWN], got[-2:]
         total = float(up.sum() + rest[0])
         own = seat(rng, up.astype(np.int64), d1, np.full(OWN, (THETA + d1 * roots) * base))
@@ -484,7 +495,7 @@ def gibbs(pairs: DataFrame, words: dict, buckets: int, burn: int, samples: int,
         g = {"d": d, "d1": d1, "base": base, "roots": roots, "customers": total, "tables": tables, "served": customers}
         g["p1"] = parent(up, own, g)
         states.append(g)
-    return states[burn:], rare_customers, rare_tables[burn:]
+    return states[burn:], told_[0], told_[burn:]
 
 
 def sweep_seed(seed: int, step: int, bucket: int) -> int:
@@ -504,9 +515,9 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 2, samples
     spark = docs.sparkSession
     base = marked(docs, parts, held, id_col, text_col)
     words = vocabulary(base, own)
-    buckets = max(spread(spark), words["tokens"] // BUCKET_TOKENS)
+    buckets = max(spread(spark), min(words["tokens"] // BUCKET_TOKENS, MOST_BUCKETS))
     pairs = dealt(base, words, buckets)
-    found, rare_customers, rare_tables = gibbs(pairs, words, buckets, burn, samples, seed)
+    found, customers, tables = gibbs(pairs, words, buckets, burn, samples, seed)
     states = spark.sparkContext.broadcast(found)
 
     def doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -522,12 +533,11 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 2, samples
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, *blobs = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
-                b = Bucket(*blobs[:6])
-                served = told(b, blobs[6], buckets)
+                bucket, b, local = opened(batch, i)
+                served = told(b, local, 0, buckets)
                 p = np.zeros(len(b.keys))
-                for s, (g, local) in enumerate(zip(states.value, blobs[7:]), burn):  # the seats that the next sweep draws from this state
-                    tables = np.concatenate([g["tables"], told(b, local, buckets)])
+                for s, g in enumerate(states.value, burn):  # the seats that the next sweep draws from this state
+                    tables = np.concatenate([g["tables"], told(b, local, s - burn + 1, buckets)])
                     p += predictive(b, g, np.concatenate([g["served"], served]), tables, sweep_seed(seed, s, bucket))
                 logs = np.log10(p / len(states.value))
                 known = np.zeros(len(b.keys), np.int64)
@@ -563,9 +573,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, burn: int = 2, samples
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     parcel = "bucket int, docs binary, rows binary, known binary, score binary, base binary"
-    judged = pairs.where("kind = 0").select(*PAIR_COLUMNS).join(rare_customers, "bucket", "left")
-    for k, t in enumerate(rare_tables):
-        judged = judged.join(t.withColumnRenamed("tables", f"tables_{k}"), "bucket", "left")
+    judged = with_told(pairs.where("kind = 0").select(*PAIR_COLUMNS), (customers, "a"), *((t, "b") for t in tables))
     sent = judged.mapInArrow(judge, parcel).union(pairs.where("kind = 1").select("docs").mapInArrow(doc_rows, parcel))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(total, schema)
