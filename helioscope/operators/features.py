@@ -7,6 +7,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helioscope.operators.prefix import quantiles
+
 
 def _with(df: DataFrame, **stats) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[v.alias(k) for k, v in stats.items()])))
@@ -28,8 +30,8 @@ def minmax(df: DataFrame, value: str, low: float = 0.0, high: float = 1.0, name:
 
 def robust(df: DataFrame, value: str, name: str = "scaled") -> DataFrame:
     """Less the median, over the interquartile range."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return _with(df, _q=q).withColumn(name, F.try_divide(F.col(value) - F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0])).drop("_q")
+    q = quantiles(df, value, {"_a": 0.25, "_b": 0.5, "_c": 0.75})
+    return df.crossJoin(F.broadcast(q)).withColumn(name, F.try_divide(F.col(value) - F.col("_b"), F.col("_c") - F.col("_a"))).drop("_a", "_b", "_c")
 
 
 def maxabs(df: DataFrame, value: str, name: str = "scaled") -> DataFrame:

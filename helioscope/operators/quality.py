@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from helioscope.operators.prefix import quantiles
+
 
 def report(df: DataFrame, ranges: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """(column, n, nulls, distinct_values, below, above) of the columns, with their allowed ranges, from one pass."""
@@ -43,6 +45,6 @@ def schema_errors(found: StructType, wanted: StructType) -> list[str]:
 
 def outliers(df: DataFrame, value: str, by: list[str], whisker: float = 1.5) -> DataFrame:
     """Rows beyond the box-plot fences of their group."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    span = (F.col("_q")[1] - F.col("_q")[0]) * whisker
-    return df.join(q, by).where((F.col(value) < F.col("_q")[0] - span) | (F.col(value) > F.col("_q")[1] + span)).drop("_q")
+    q = quantiles(df, value, {"_q1": 0.25, "_q3": 0.75}, by)
+    span = (F.col("_q3") - F.col("_q1")) * whisker
+    return df.join(q, by).where((F.col(value) < F.col("_q1") - span) | (F.col(value) > F.col("_q3") + span)).drop("_q1", "_q3")

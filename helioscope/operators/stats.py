@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helioscope.operators.prefix import running
+from helioscope.operators.prefix import quantiles, running
 
 
 def ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank") -> DataFrame:
@@ -111,13 +111,14 @@ def mode(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
 
 
 def median_abs_deviation(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    m = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("_m"))
-    return df.join(m, by).groupBy(*by).agg(F.max("_m").alias("median"), F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5).alias("mad"))
+    m = quantiles(df, value, {"median": 0.5}, by)
+    off = df.select(*by, value).join(m, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("_off"))
+    return m.join(quantiles(off, "_off", {"mad": 0.5}, by), by)
 
 
 def winsorized_mean(df: DataFrame, value: str, limit: float, by: list[str]) -> DataFrame:
     """Mean after values beyond the limit and 1 - limit quantiles are moved to them."""
-    q = df.groupBy(*by).agg(F.percentile(value, limit).alias("_lo"), F.percentile(value, 1 - limit).alias("_hi"))
+    q = quantiles(df, value, {"_lo": limit, "_hi": 1 - limit}, by)
     return df.join(q, by).groupBy(*by).agg(F.avg(F.least(F.greatest(F.col(value), "_lo"), "_hi")).alias("winsorized_mean"))
 
 
@@ -136,8 +137,7 @@ def t_paired(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def levene(df: DataFrame, value: str, group: str, centre: str = "median") -> DataFrame:
     """Levene's F of absolute deviations from the group's mean, or from its median (Brown-Forsythe)."""
-    c = F.avg(value) if centre == "mean" else F.percentile(value, 0.5)
-    m = df.groupBy(group).agg(c.alias("_c"))
+    m = df.groupBy(group).agg(F.avg(value).alias("_c")) if centre == "mean" else quantiles(df, value, {"_c": 0.5}, [group])
     return anova(df.join(m, group).withColumn("_z", F.abs(F.col(value) - F.col("_c"))), "_z", group)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from helioscope.functions import text as T
+from helioscope.operators.prefix import numbered
 
 #: Strings of a lower-cased text that tell its domain. The first domain in this order counts.
 DOMAINS = {
@@ -123,9 +124,9 @@ def kmers(df: DataFrame, sequence: str, k: int, by: list[str]) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, tokens: str, least: int = 1, most: int | None = None) -> DataFrame:
-    """(token, n, index): by falling count, ties by token; the index needs one sorted pass over distinct tokens."""
+    """(token, n, index): by falling count, ties by token."""
     c = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    v = c.withColumn("index", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1)
+    v = numbered(c, [-F.col("n"), F.col("token")], "index").withColumn("index", F.col("index").cast("int"))
     return v.where(F.col("index") < most) if most is not None else v
 
 

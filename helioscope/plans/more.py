@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helioscope.functions import finance, geometry
 from helioscope.functions import special as S
 from helioscope.functions import text as T
-from helioscope.operators import extremes, sampling, series, textmodels
+from helioscope.operators import extremes, prefix, sampling, series, textmodels
 from helioscope.plans.registry import query, rounded
 from helioscope.plans.statistics import HOURLY, hourly
 from helioscope.session import load
@@ -138,18 +138,16 @@ def domain_detect(spark: SparkSession, d: str) -> DataFrame:
     h AS (SELECT item_id, len(w) AS a, len(r) AS b, list_sum(list_transform(list_distinct(w), lambda t: least(len(list_filter(w, lambda y: y = t)), len(list_filter(r, lambda y: y = t))))) AS n FROM q)
     SELECT item_id, round(n / a, 6) AS precision, round(n / b, 6) AS recall, round(CASE WHEN n = 0 THEN 0 ELSE 2 * (n / a) * (n / b) / (n / a + n / b) END, 6) AS f1 FROM h""")
 def rouge_n_pairs(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    x = load(spark, d, "benchmark").select("item_id", T.words(F.col("text")).alias("w")).withColumn("r", F.lag("w").over(Window.orderBy("item_id"))).where("r IS NOT NULL AND size(w) > 0 AND size(r) > 0")
+    x = load(spark, d, "benchmark").select("item_id", T.words(F.col("text")).alias("w"))
+    x = prefix.lagged(x, ["w"], "item_id").withColumnRenamed("last_w", "r").where("r IS NOT NULL AND size(w) > 0 AND size(r) > 0")
     x = x.select("item_id", textmodels.rouge_n(F.col("w"), F.col("r"), 1).alias("s"))
     return x.select("item_id", *rounded(precision=F.col("s.precision"), recall=F.col("s.recall"), f1=F.col("s.f1")))
 
 
 @query()
 def rouge_l_pairs(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    x = load(spark, d, "benchmark").select("item_id", T.words(F.col("text")).alias("w")).withColumn("r", F.lag("w").over(Window.orderBy("item_id"))).where("r IS NOT NULL")
+    x = load(spark, d, "benchmark").select("item_id", T.words(F.col("text")).alias("w"))
+    x = prefix.lagged(x, ["w"], "item_id").withColumnRenamed("last_w", "r").where("r IS NOT NULL")
     return x.select("item_id", textmodels.rouge_l(F.col("w"), F.col("r")).alias("s")).select("item_id", "s.precision", "s.recall", "s.f1")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helioscope.functions import aggregates as A
 from helioscope.functions import arrays as V
 from helioscope.functions import special as S
-from helioscope.operators import features, metrics, stats
+from helioscope.operators import features, metrics, prefix, stats
 from helioscope.operators import matrix as M
 from helioscope.operators import windows as W
 from helioscope.operators.joins import nearest
@@ -23,7 +23,9 @@ from helioscope.session import load
 def describe_by_flag(spark: SparkSession, d: str) -> DataFrame:
     x, q = F.col("l_extendedprice"), F.col("l_quantity")
     s = A.describe(x)
-    return load(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(q).alias("n"), *rounded(mean=s["mean"], std=s["std"], var_pop=A.variance(q, 0)), F.min(x).alias("min"), F.max(x).alias("max"), *rounded(median=s["median"], range=s["range"], cv=A.coef_variation(q), sem=A.sem(q)))
+    l = load(spark, d, "lineitem")
+    median = prefix.quantiles(l, "l_extendedprice", {"median": 0.5}, ["l_returnflag"]).withColumn("median", F.round("median", 6))
+    return median.join(l.groupBy("l_returnflag").agg(F.count(q).alias("n"), *rounded(mean=s["mean"], std=s["std"], var_pop=A.variance(q, 0)), F.min(x).alias("min"), F.max(x).alias("max"), *rounded(range=s["range"], cv=A.coef_variation(q), sem=A.sem(q))), "l_returnflag")
 
 
 @query("""SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 6) AS q10, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25,
@@ -31,8 +33,9 @@ def describe_by_flag(spark: SparkSession, d: str) -> DataFrame:
     round(quantile_cont(l_extendedprice, 0.25) - 1.5 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)), 6) AS low_fence
     FROM lineitem GROUP BY ALL""")
 def quantiles_linear(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("l_extendedprice")
-    return load(spark, d, "lineitem").groupBy("l_linestatus").agg(*rounded(q10=A.quantile(x, 0.1), q25=A.quantile(x, 0.25), iqr=A.iqr(x), q90=A.quantile(x, 0.9), low_fence=A.boxplot(x)["low_fence"]))
+    q = prefix.quantiles(load(spark, d, "lineitem"), "l_extendedprice", {"q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}, ["l_linestatus"])
+    iqr = F.col("q75") - F.col("q25")
+    return q.select("l_linestatus", *rounded(q10=F.col("q10"), q25=F.col("q25"), iqr=iqr, q90=F.col("q90"), low_fence=F.col("q25") - 1.5 * iqr))
 
 
 @query("""WITH m AS (SELECT o_orderstatus, avg(o_totalprice) AS a, stddev_pop(o_totalprice) AS s FROM orders GROUP BY ALL)
@@ -125,7 +128,7 @@ def rle_runs(spark: SparkSession, d: str) -> DataFrame:
     SELECT min(i)::INTEGER AS first_row, max(i)::INTEGER AS last_row, count(*) AS length FROM k GROUP BY g HAVING count(*) >= 2""")
 def peak_demand_islands(spark: SparkSession, d: str) -> DataFrame:
     h = load(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("value").alias("v"))
-    q = h.agg(A.quantile(F.col("v"), 0.8).alias("q"))
+    q = prefix.quantiles(h, "v", {"q": 0.8})
     return W.islands(h.crossJoin(F.broadcast(q)), F.col("v") >= F.col("q"), ["hour"], least=2).select("first_row", "last_row", "length")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helioscope.functions import text as T
 from helioscope.operators.graph import cut, neighbour_similarity
+from helioscope.operators.prefix import lagged
 from helioscope.plans.registry import query
 from helioscope.session import load
 
@@ -67,19 +68,11 @@ def jaccard_benchmark_pairs(spark: SparkSession, d: str) -> DataFrame:
     return c.select("a", "b", F.round(F.col("n") / (F.col("ka") + F.col("kb") - F.col("n")), 6).alias("jaccard"))
 
 
-@query("""WITH t AS (SELECT item_id, substr(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 1, 40) AS s FROM benchmark)
+@query("""WITH t AS (SELECT item_id, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS s FROM benchmark)
     SELECT item_id, levenshtein(s, lag(s) OVER (ORDER BY item_id)) AS distance FROM t""")
 def levenshtein_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    s = F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 40)
-    x = load(spark, d, "benchmark").select("item_id", s.alias("s"))
-    return x.select("item_id", F.levenshtein("s", F.lag("s").over(Window.orderBy("item_id"))).cast("bigint").alias("distance"))
-
-
-@query()
-def levenshtein_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As levenshtein_benchmark, over whole texts."""
     x = load(spark, d, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^a-z ]", "").alias("s"))
-    return x.select("item_id", F.levenshtein("s", F.lag("s").over(Window.orderBy("item_id"))).cast("bigint").alias("distance"))
+    return lagged(x, ["s"], "item_id").select("item_id", F.levenshtein("s", "last_s").cast("bigint").alias("distance"))
 
 
 @query()
@@ -115,7 +108,8 @@ def lexical_diversity(spark: SparkSession, d: str) -> DataFrame:
     SELECT item_id, round(len(list_intersect(w, r)) / len(w), 6) AS precision, round(len(list_intersect(w, r)) / len(r), 6) AS recall FROM h WHERE r IS NOT NULL AND len(w) > 0 AND len(r) > 0""")
 def rouge1_benchmark(spark: SparkSession, d: str) -> DataFrame:
     w = F.array_distinct(T.words(F.col("text")))
-    x = load(spark, d, "benchmark").select("item_id", w.alias("w")).withColumn("r", F.lag("w").over(Window.orderBy("item_id"))).where("r IS NOT NULL AND size(w) > 0 AND size(r) > 0")
+    x = load(spark, d, "benchmark").select("item_id", w.alias("w"))
+    x = lagged(x, ["w"], "item_id").withColumnRenamed("last_w", "r").where("r IS NOT NULL AND size(w) > 0 AND size(r) > 0")
     n = F.size(F.array_intersect("w", "r"))
     return x.select("item_id", F.round(n / F.size("w"), 6).alias("precision"), F.round(n / F.size("r"), 6).alias("recall"))
 

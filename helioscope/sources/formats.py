@@ -144,18 +144,18 @@ def run_length(df: DataFrame, value: str, order_by: list[str]) -> DataFrame:
 
 def run_length_decode(encoded: DataFrame) -> DataFrame:
     """(i, value): the column again, numbered from zero by run and place."""
-    from pyspark.sql import Window
+    from helioscope.operators.prefix import numbered
 
     rows = encoded.select("run", "value", F.explode(F.sequence(F.lit(1), F.col("length").cast("int"))).alias("k"))
-    return rows.select((F.row_number().over(Window.orderBy("run", "k")) - 1).alias("i"), "value")
+    return numbered(rows, [F.col("run"), F.col("k")], "i").select("i", "value")
 
 
 def dictionary(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     """(df with code, table of (code, value)): codes by falling count, ties by value."""
-    from pyspark.sql import Window
+    from helioscope.operators.prefix import numbered
 
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    codes = counts.select(value, (F.row_number().over(Window.orderBy(F.desc("_n"), value)) - 1).alias("code"))
+    codes = numbered(counts, [-F.col("_n"), F.col(value)], "code").select(value, "code")
     return df.join(codes, value, "left"), codes
 
 

@@ -42,7 +42,7 @@ def test_graph_jaccard_whole(spark, sf_dir):
 
 def test_levenshtein_whole(spark, sf_dir):
     texts = [(i, re.sub("[^a-z ]", "", t.lower())) for i, t in rows(sf_dir, "SELECT item_id, text FROM {benchmark} ORDER BY 1")][:12]
-    got = {r["item_id"]: r["distance"] for r in registry.QUERIES["levenshtein_whole"](spark, sf_dir).collect()}
+    got = {r["item_id"]: r["distance"] for r in registry.QUERIES["levenshtein_benchmark"](spark, sf_dir).collect()}
     assert max(len(t) for _, t in texts) > 40
     assert [got[i] for i, _ in texts] == [None, *(distance(a, b) for (_, a), (_, b) in zip(texts, texts[1:]))]
 
