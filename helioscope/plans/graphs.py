@@ -55,14 +55,21 @@ def k_core(spark: SparkSession, d: str) -> DataFrame:
     return graph.k_core(edges(spark, d), 3)
 
 
-@query()
+def chained(first: str, step: str, rounds: int, last: str) -> str:
+    """SQL: table r0 by `first`, each further one from the one before (named in `step` as before), then `last` over the last one (named now)."""
+    tables = [f"r0 AS ({first})"] + [f"r{i} AS ({step.replace('before', f'r{i - 1}')})" for i in range(1, rounds + 1)]
+    return ", ".join(tables) + " " + last.replace("now", f"r{rounds}")
+
+
+@query(f"WITH e AS ({BOTH}), " + chained("SELECT DISTINCT src AS id, src AS label FROM e", """SELECT id, label FROM (SELECT src AS id, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM e JOIN before ON dst = id GROUP BY src, label) WHERE k = 1""", 3, "SELECT id, label FROM now"))
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return graph.label_propagation(edges(spark, d), 3)
 
 
-@query()
+@query(f"WITH e AS ({EDGES}), ids AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM ids), o AS (SELECT src, count(*) AS o FROM e GROUP BY src), " + chained("SELECT id, 1.0::DOUBLE / n AS rank FROM ids, n", """SELECT ids.id, 0.15 / n + 0.85 * (coalesce(s, 0) + loose / n) AS rank FROM ids CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(rank), 0) AS loose FROM before WHERE id NOT IN (SELECT src FROM o))
+    LEFT JOIN (SELECT e.dst AS id, sum(rank / o) AS s FROM e JOIN o ON o.src = e.src JOIN before b ON b.id = e.src GROUP BY e.dst) g ON g.id = ids.id""", 5, "SELECT id, round(rank, 9) AS rank FROM now"))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(edges(spark, d), 5)
+    return graph.pagerank(edges(spark, d), 5).withColumn("rank", F.round("rank", 9))
 
 
 @query(f"""WITH e AS ({EDGES}), l AS (SELECT src AS id, src % 5 AS label FROM ({BOTH}) GROUP BY ALL), m AS (SELECT count(*) AS m FROM e), i AS (SELECT count(*) AS w FROM e JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE a.label = b.label),
@@ -92,9 +99,13 @@ def graph_density(spark: SparkSession, d: str) -> DataFrame:
     return graph.density(nations(spark, d)).select(F.round("density", 6).alias("density"))
 
 
-@query()
+NEAREST = "SELECT id, centre, dist FROM (SELECT c.id, b.centre, sum(power(c.v - b.v, 2)) AS dist, row_number() OVER (PARTITION BY c.id ORDER BY sum(power(c.v - b.v, 2)), b.centre) AS k FROM c JOIN before b USING (i) GROUP BY c.id, b.centre) WHERE k = 1"
+
+
+@query("WITH c AS (SELECT vec_id AS id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), f AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS centre FROM embeddings), " + chained("SELECT centre, i, v FROM c JOIN f USING (id) WHERE centre < 8", f"""SELECT b.centre, b.i, coalesce(m.v, b.v) AS v FROM before b LEFT JOIN (SELECT a.centre, c.i, avg(c.v) AS v FROM ({NEAREST}) a JOIN c USING (id) GROUP BY ALL) m ON m.centre = b.centre AND m.i = b.i""", 5, f"SELECT id, centre::INTEGER AS centre, round(sqrt(dist), 5) AS distance FROM ({NEAREST.replace('before', 'now')})"))
 def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.kmeans(load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")), 8, 5)
+    x = cluster.kmeans(load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")), 8, 5)
+    return x.select("id", F.col("centre").cast("int").alias("centre"), F.round("distance", 5).alias("distance"))
 
 
 @query()

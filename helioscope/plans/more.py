@@ -100,14 +100,20 @@ def densities(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_size").distinct().select("p_size", F.round(S.gammaln(x), 5).alias("gammaln"), F.round(S.distribution("normal", x, mean=25.0, sd=10.0), 9).alias("normal_pdf"), S.factorial(x % 12).alias("factorial"), F.round(S.distribution("exponential", x, rate=0.1), 9).alias("exponential"))
 
 
-@query()
+@query(f"""WITH h AS ({HOURLY}), n AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM h), k AS (SELECT DISTINCT event_type, n, unnest(range(0, n // 2 + 1)) AS k FROM n)
+    SELECT event_type, k AS frequency, round(power(sum(v * cos(2 * pi() * ((i * k) % n.n) / n.n)), 2) + power(sum(v * sin(2 * pi() * ((i * k) % n.n) / n.n)), 2), 2) AS power FROM n JOIN k USING (event_type) GROUP BY ALL""")
 def spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return series.spectrum(hourly(spark, d), "v", "hour", ["event_type"])
+    return series.spectrum(hourly(spark, d), "v", "hour", ["event_type"]).withColumn("power", F.round("power", 2))
 
 
-@query()
+HALVED = "list_transform(range(0, (len({0}) + 1) // 2), lambda k: ({0}[2 * k + 1] {1} {0}[least(2 * k + 2, len({0}))]) / sqrt(2))"
+
+
+@query(f"""WITH h AS ({HOURLY}), a AS (SELECT event_type, list(v ORDER BY hour) AS x FROM h GROUP BY ALL), b AS (SELECT *, {HALVED.format('x', '+')} AS y FROM a), c AS (SELECT *, {HALVED.format('y', '+')} AS z FROM b),
+    l AS (SELECT event_type, 1 AS level, {HALVED.format('x', '-')} AS d FROM c UNION ALL SELECT event_type, 2, {HALVED.format('y', '-')} FROM c UNION ALL SELECT event_type, 3, {HALVED.format('z', '-')} FROM c)
+    SELECT event_type, level, unnest(range(0, len(d))) AS position, round(unnest(d), 4) + 0 AS detail FROM l""")
 def haar_wavelet(spark: SparkSession, d: str) -> DataFrame:
-    return series.haar(hourly(spark, d), "v", "hour", ["event_type"], 3)
+    return series.haar(hourly(spark, d), "v", "hour", ["event_type"], 3).withColumn("detail", F.round("detail", 4) + 0)
 
 
 @query()

@@ -162,7 +162,11 @@ def ewma_by_user(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", F.round(W.ewma(F.col("series"), 0.3), 6).alias("ewma"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS k FROM events),
+    z AS (SELECT user_id, 0 AS i, max(k) AS k, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS lo, 0 AS alarms, NULL::DOUBLE AS level, 0.0::DOUBLE AS trend FROM n GROUP BY user_id),
+    r AS (SELECT * FROM z UNION ALL SELECT user_id, i, k, CASE WHEN fire THEN 0 ELSE hi END, CASE WHEN fire THEN 0 ELSE lo END, alarms + CASE WHEN fire THEN 1 ELSE 0 END, CASE WHEN level IS NULL THEN value ELSE fresh END, CASE WHEN level IS NULL THEN 0 ELSE 0.1 * (fresh - level) + 0.9 * trend END
+        FROM (SELECT *, hi > 100 OR lo > 100 AS fire FROM (SELECT n.user_id, n.i, n.k, n.value, greatest(0, r.hi + n.value - 55) AS hi, greatest(0, r.lo - n.value + 45) AS lo, r.alarms, r.level, r.trend, 0.3 * n.value + 0.7 * (r.level + r.trend) AS fresh FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)))
+    SELECT user_id, alarms, round(level + 3 * trend, 6) AS forecast FROM r WHERE i = k""")
 def cusum_holt_by_user(spark: SparkSession, d: str) -> DataFrame:
     x = W.folded(load(spark, d, "events"), "value", ["ts", "event_id"], ["user_id"])
     s = F.col("series")
@@ -371,10 +375,12 @@ def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     return M.autocorrelation(hourly(spark, d), "v", [1, 24], ["hour"], ["event_type"]).withColumn("acf", F.round("acf", 6))
 
 
-@query()
+@query(f"""WITH h AS ({HOURLY}), n AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY event_type) AS t, (sum(v) OVER (w ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) + sum(v) OVER (w ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING)) / 48 AS m FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)),
+    x AS (SELECT *, CASE WHEN n > 12 AND n <= t - 12 THEN m END AS trend, (n - 1) % 24 AS phase FROM n), s AS (SELECT event_type, phase, avg(v - trend) AS s FROM x GROUP BY ALL), c AS (SELECT event_type, phase, s - avg(s) OVER (PARTITION BY event_type) AS seasonal FROM s)
+    SELECT event_type, epoch_us(hour) AS hour_us, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(v - trend - seasonal, 6) AS residual FROM x JOIN c USING (event_type, phase)""")
 def seasonal_decompose(spark: SparkSession, d: str) -> DataFrame:
     x = M.decompose(hourly(spark, d), "v", 24, ["hour"], ["event_type"])
-    return x.select("event_type", "hour", *rounded(trend=F.col("trend"), seasonal=F.col("seasonal"), residual=F.col("residual")))
+    return x.select("event_type", F.unix_micros(F.col("hour").cast("timestamp")).alias("hour_us"), *(F.round(c, 6).alias(c) for c in ("trend", "seasonal", "residual")))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, (n_nationkey * 37) % 140 - 70.0 AS lat, (n_nationkey * 53) % 360 - 180.0 AS lon FROM nation)
