@@ -295,6 +295,28 @@ def test_top_k(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_copies_clusters_and_empty_vectors(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, [0.5, 0.25, -1.0]) for i in range(100)] + [(100 + i, (rng.normal(size=3) * 0.1 + 5 * (i % 4)).round(3).tolist()) for i in range(200)] + [(1000 + i, []) for i in range(0, 60, 10)]
+    v = knn.integer_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<float>"))
+    got = sorted(map(tuple, knn.top_k(v, v.where("vec_id % 50 = 0"), shard=20).collect()))
+    ok = {i: [math.floor(256 * float(np.float32(x))) for x in e] for i, e in data}
+    want = []
+    for q in (i for i in ok if i % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(ok[q], e)), i) for i, e in ok.items() if i != q and len(e) == len(ok[q]))
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scores[:5], 1)]
+    assert got == sorted(want)
+    assert knn.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_splits_part_ties():
+    x = np.array([[1, 5]] * 50 + [[2, 5]] * 5 + [[9, 0]] * 5)
+    nodes, sizes = knn.splits(x, 6)
+    leaf = knn.leaves_of(nodes, x)
+    assert sum(sizes) == 60 and np.bincount(leaf, minlength=len(sizes)).tolist() == sizes
+    assert len({tuple(v) for v in x[leaf == leaf[0]].tolist()}) == 1
+
+
 def test_tree_ties_and_bounds():
     ids, x = np.arange(300), np.random.default_rng(1).integers(-3, 4, (300, 3))
     tree = knn.KDTree(ids, x, 8)
