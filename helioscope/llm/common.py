@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{LOCAL_SHARED}"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -56,6 +58,14 @@ def written(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    spark = table.sparkSession
+    for parent in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id bigint, text string): other columns go, so that none of them can clash; a null text is empty."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +53,14 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root): the least node of the component, of each node of an edge table (u, v). Empty for no edges.
 
     Every round is written to the shared folder, so lineage stays short and
-    lost executors cost no earlier round. The rounds end when a checksum of the
+    lost executors cost no earlier round; the round before is then deleted. The rounds end when a checksum of the
     edges stands still; that number alone reaches the driver.
     """
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), tag)  # a round reads them several times
     seen = None
     while True:
-        edges = written(_star(_star(edges, True), False), tag)
+        before, edges = edges, written(_star(_star(edges, True), False), tag)
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
