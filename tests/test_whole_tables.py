@@ -30,12 +30,12 @@ def distance(a, b):
     return row[-1]
 
 
-def test_graph_jaccard_whole(spark, sf_dir):
+def test_graph_jaccard(spark, sf_dir):
     near = defaultdict(set)
     for c, s in rows(sf_dir, "SELECT o_custkey, 1000000 + l_suppkey FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey"):
         near[c].add(s)
         near[s].add(c)
-    got = {(r["a"], r["b"]): (r["common"], r["jaccard"]) for r in registry.QUERIES["graph_jaccard_whole"](spark, sf_dir).collect()}
+    got = {(r["a"], r["b"]): (r["common"], r["jaccard"]) for r in registry.QUERIES["graph_jaccard"](spark, sf_dir).collect()}
     want = {(a, b): (n, pytest.approx(x, abs=1e-6)) for a, b, n, x in similarities(near)}
     assert got == want and len({b for _, b in got if b > 1000000}) > 1
 
