@@ -1,8 +1,8 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
 The instances are word windows of sentences: words in lower case without
-punctuation at their edges, runs of single characters joined ("i d i o t"), and
-overlapping windows of long words. The kernel counts common subsequences of
+punctuation at their edges, runs of single characters joined ("i d i o t",
+"i. d. i. o. t."), and overlapping windows of long words. The kernel counts common subsequences of
 three and four characters, weighted by DECAY to the power of their span (up to
 SPAN characters), so inserted characters and gaps weaken a match without
 breaking it. It is divided by the weight that a window of that length has.
@@ -84,12 +84,13 @@ def windows(token: str) -> list[str]:
 
 
 def joined(tokens: list[str]) -> list[str]:
-    """Runs of three or more single characters, joined."""
+    """Runs of three or more single characters, joined: signs at their edges go first ("i. d. i. o. t."), tokens of signs alone are passed over ("i - d - i")."""
     out, run = [], []
     for t in [*tokens, "  "]:
+        t = t.strip(EDGES)
         if len(t) == 1:
             run.append(t)
-        else:
+        elif t:
             if len(run) > 2:
                 out.append("".join(run))
             run = []
@@ -98,8 +99,7 @@ def joined(tokens: list[str]) -> list[str]:
 
 def tokens_of(text: str) -> list[str]:
     own = text.lower().split()
-    singles = sum(1 for t in own if len(t) == 1)
-    return own + joined(own) if singles > 2 else own
+    return own + joined(own)
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

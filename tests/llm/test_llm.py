@@ -549,14 +549,14 @@ def test_toxicity_learns_insults(spark):
         rows.append((i, " ".join(w), "en"))
         labels.append((i, int(bad), 1.0))
     labels += [(None, 1, 0.0), (3, None, 0.0), (99999, 1, 0.0)]
-    rows += [(700, None, "x"), (701, "", "x"), (702, "you i d i o t and m o r o n", "x"), (703, "what an idiiot and a morron", "x"), (None, prose(rng, 20), None)]
+    rows += [(700, None, "x"), (701, "", "x"), (702, "you i d i o t and m o r o n", "x"), (703, "what an idiiot and a morron", "x"), (704, "you i. d. i. o. t. and - m - o - r - o - n -", "x"), (None, prose(rng, 20), None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, predicted string")
     got = {r["doc_id"]: r for r in toxicity.judged(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int, text double")).collect()}
     assert len(got) == len(rows)
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert all(got[i]["held_out"] == (i in set(held)) for i in range(600))
     assert sum(got[i]["predicted"] == (i % 4 == 0) for i in held) / len(held) > 0.97
-    assert got[700]["predicted"] == got[701]["predicted"] == 0 and got[702]["predicted"] == 1 and got[703]["predicted"] == 1
+    assert got[700]["predicted"] == got[701]["predicted"] == 0 and got[702]["predicted"] == got[703]["predicted"] == got[704]["predicted"] == 1
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
