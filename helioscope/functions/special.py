@@ -181,6 +181,30 @@ def safe_sqrt(x: Column) -> Column:
     return F.when(x >= 0, F.sqrt(x))
 
 
+def _finite(x: Column) -> Column:
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def safe_log10(x: Column) -> Column:
+    return F.when(x > 0, F.log10(x))
+
+
+def safe_pow(base: Column, exponent: Column) -> Column:
+    """base ** exponent; null where that is no finite real number."""
+    whole = exponent == F.floor(exponent)
+    return _finite(F.when(((base > 0) | ((base == 0) & (exponent >= 0)) | ((base < 0) & whole)), F.pow(base, exponent)))
+
+
+def safe_exp(x: Column) -> Column:
+    """Null on overflow."""
+    return _finite(F.exp(x))
+
+
+def safe_normalize(x: Column, norm: Column) -> Column:
+    """x / norm; null for a norm of zero and where the result isn't finite."""
+    return _finite(F.try_divide(x, norm))
+
+
 def distribution(name: str, x: Column, **p: float) -> Column:
     """Densities (or masses) by name."""
     lit = {k: F.lit(float(v)) for k, v in p.items()}

@@ -106,3 +106,18 @@ def ndcg(df: DataFrame, query: str, relevance: str, score: str, k: int) -> DataF
     x = df.withColumns({"_g": got, "_b": best})
     at = lambda c: F.sum(F.when(F.col(c) <= k, gain / F.log2(F.col(c) + 1)).otherwise(0.0))
     return x.groupBy(query).agg(F.coalesce(F.try_divide(at("_g"), at("_b")), F.lit(0.0)).alias("ndcg"))
+
+
+def multilabel(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(cardinality, density, hamming_loss) of two array<boolean> columns of one length: true labels a row, their share, and the share of labels that differ. Null labels count as false, rows without arrays or with arrays of unlike length don't count."""
+    yes = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(False)).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    t, p = yes(F.col(truth)), yes(F.col(predicted))
+    rows = df.where((F.size(truth) > 0) & (F.size(truth) == F.size(predicted))).select(total(t).alias("n"), F.size(t).alias("size"), total(F.zip_with(t, p, lambda a, b: F.abs(a - b))).alias("wrong"))
+    return rows.agg(F.avg("n").alias("cardinality"), (F.sum("n") / F.sum("size")).alias("density"), (F.sum("wrong") / F.sum("size")).alias("hamming_loss"))
+
+
+def sparsity(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(sparsity): the share of exact zeros among the values of the columns; nulls don't count."""
+    zeros = sum((F.count_if(F.col(c) == 0) for c in columns), F.lit(0))
+    return df.agg((zeros / sum((F.count(c) for c in columns), F.lit(0))).alias("sparsity"))

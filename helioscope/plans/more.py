@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helioscope.functions import finance, geometry
 from helioscope.functions import special as S
 from helioscope.functions import text as T
-from helioscope.operators import extremes, prefix, sampling, series, textmodels
+from helioscope.operators import extremes, metrics, prefix, sampling, series, textmodels
 from helioscope.plans.registry import query, rounded
 from helioscope.plans.statistics import HOURLY, hourly
 from helioscope.session import load
@@ -166,3 +166,18 @@ def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark), c AS (SELECT token, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 3) SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) - 1 AS INTEGER) AS "index" FROM c""")
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return textmodels.vocabulary(load(spark, d, "benchmark").select(T.words(F.col("text")).alias("w")), "w", 3)
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice::DOUBLE / 1000 - 150 AS x, o_orderkey % 3 AS n FROM orders) SELECT o_orderkey, CASE WHEN x > 0 THEN round(log10(x), 6) END AS log10, CASE WHEN x >= 0 THEN round(power(x, 0.5), 6) END AS root, x * 10 > 709.782712893384 AS overflow, CASE WHEN n <> 0 THEN round(x / n, 6) + 0 END AS normal FROM x""")
+def safe_numbers(spark: SparkSession, d: str) -> DataFrame:
+    x, n = F.col("o_totalprice").cast("double") / 1000 - 150, F.col("o_orderkey") % 3
+    o = load(spark, d, "orders")
+    return o.select("o_orderkey", F.round(S.safe_log10(x), 6).alias("log10"), F.round(S.safe_pow(x, F.lit(0.5)), 6).alias("root"), S.safe_exp(x * 10).isNull().alias("overflow"), (F.round(S.safe_normalize(x, n), 6) + 0).alias("normal"))
+
+
+@query("""WITH b AS (SELECT (l_returnflag = 'R')::INTEGER AS a1, (l_discount > 0.05)::INTEGER AS a2, (l_tax > 0.04)::INTEGER AS a3, (l_linestatus = 'F')::INTEGER AS b1, (l_quantity > 25)::INTEGER AS b2, (l_tax > 0.02)::INTEGER AS b3, l_discount, l_tax FROM lineitem)
+    SELECT round(avg(a1 + a2 + a3), 6) AS cardinality, round(avg(a1 + a2 + a3) / 3, 6) AS density, round(avg(abs(a1 - b1) + abs(a2 - b2) + abs(a3 - b3)) / 3, 6) AS hamming_loss, round((count(*) FILTER (l_discount = 0) + count(*) FILTER (l_tax = 0)) / (count(l_discount) + count(l_tax)), 6) AS sparsity FROM b""")
+def multilabel_scores(spark: SparkSession, d: str) -> DataFrame:
+    l = load(spark, d, "lineitem")
+    y = l.select(F.array(F.col("l_returnflag") == "R", F.col("l_discount") > 0.05, F.col("l_tax") > 0.04).alias("y"), F.array(F.col("l_linestatus") == "F", F.col("l_quantity") > 25, F.col("l_tax") > 0.02).alias("p"))
+    return metrics.multilabel(y, "y", "p").crossJoin(metrics.sparsity(l, ["l_discount", "l_tax"])).select(*(F.round(c, 6).alias(c) for c in ("cardinality", "density", "hamming_loss", "sparsity")))  # one row each

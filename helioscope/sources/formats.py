@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -55,6 +55,33 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, "path string, i bigint, values array<double>")
 
 
+def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
+    """(src string, dst string, weight double) of lines "src dst [weight]" parted by white space; blank lines and comments (#) are left out, a missing weight is null."""
+    p = F.split("value", "\\s+")
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' AND NOT startswith(value, '#')").where(F.size(p) > 1)
+    return lines.select(p[0].alias("src"), p[1].alias("dst"), F.try_element_at(p, F.lit(3)).try_cast("double").alias("weight"))
+
+
+def write_edge_list(edges: DataFrame, path: str, weighted: bool = False, mode: str = "errorifexists") -> None:
+    """Lines "src dst" or "src dst weight", one file a partition."""
+    edges.select(F.concat_ws(" ", "src", "dst", *(["weight"] if weighted else []))).write.mode(mode).text(path)
+
+
+def npy_bytes(values: Column) -> Column:
+    """An array<double> as the bytes of a one-dimensional NPY file of little-endian doubles; null for null."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        def one(row: np.ndarray) -> bytes:
+            out = io.BytesIO()
+            np.save(out, np.asarray(row, "<f8"), allow_pickle=False)
+            return out.getvalue()
+
+        return rows.map(one, na_action="ignore")
+
+    return run(values)
+
+
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, v) of Matrix Market coordinate files, counted from zero; symmetric files give both halves. The banner's kind is read from the text itself."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"))

@@ -138,3 +138,31 @@ def test_distribution_functions(spark):
 def test_skill_and_crps(spark):
     r = spark.range(1).select(evaluation.crps_normal(F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("c"), evaluation.crps_ensemble(F.lit(2.0), F.array(F.lit(1.0), F.lit(4.0))).alias("e"), evaluation.neumaier(F.array(F.lit(1.0), F.lit(1e100), F.lit(1.0), F.lit(-1e100))).alias("n")).first()
     assert r["c"] == pytest.approx(0.2336949, abs=1e-6) and r["e"] == pytest.approx(1.5 - 0.75) and r["n"] == 2.0
+
+
+def test_edge_lists_and_npy(spark, tmp_path):
+    import io
+
+    import numpy as np
+
+    from helioscope.sources import formats
+
+    e = spark.createDataFrame([("a", "b", 1.5), ("b", "c", 2.0)], "src string, dst string, weight double")
+    formats.write_edge_list(e, f"{tmp_path}/e", weighted=True)
+    assert sorted(map(tuple, formats.read_edge_list(spark, f"{tmp_path}/e").collect())) == [("a", "b", 1.5), ("b", "c", 2.0)]
+    (tmp_path / "own.txt").write_text("# comment\n\n 1  2\n2\t3 x\nlone\n")
+    assert sorted(map(tuple, formats.read_edge_list(spark, f"{tmp_path}/own.txt").collect())) == [("1", "2", None), ("2", "3", None)]
+    v = spark.createDataFrame([(1, [1.0, 2.5]), (2, []), (3, None)], "id int, v array<double>")
+    got = {r["id"]: r["b"] for r in v.select("id", formats.npy_bytes(F.col("v")).alias("b")).collect()}
+    assert np.load(io.BytesIO(got[1])).tolist() == [1.0, 2.5] and len(np.load(io.BytesIO(got[2]))) == 0 and got[3] is None
+
+
+def test_safe_numbers_and_multilabel(spark):
+    from helioscope.functions import special
+    from helioscope.operators import metrics
+
+    x = spark.createDataFrame([(0, 2.0, 3.0), (1, -8.0, 1 / 3), (2, 0.0, -1.0), (3, 10.0, 400.0), (4, -2.0, 3.0), (5, None, 1.0)], "i int, b double, e double")
+    assert [r[0] for r in x.orderBy("i").select(special.safe_pow(F.col("b"), F.col("e"))).collect()] == [8.0, None, None, None, -8.0, None]
+    assert [r[0] for r in x.orderBy("i").select(special.safe_normalize(F.col("e"), F.col("b"))).collect()][:3] == [1.5, -1 / 24, None]
+    y = spark.createDataFrame([([True, None], [True, True]), ([False, True], [True, True]), (None, [True]), ([True], [])], "y array<boolean>, p array<boolean>")
+    assert metrics.multilabel(y, "y", "p").first() == (1.0, 0.5, 0.5)
