@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,12 @@ def count_min_query(sketch: DataFrame, keys: DataFrame, key: str, depth: int, wi
     return k.join(F.broadcast(sketch), ["row", "cell"], "left").groupBy(key).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
+def count_min_inner(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(estimate) of the sum over keys of the products of both counts, never under it: the least dot product of a row. Of an empty sketch it is 0."""
+    dots = a.select("row", "cell", F.col("n").alias("_a")).join(b, ["row", "cell"], "left").groupBy("row").agg(F.sum(F.col("_a") * F.coalesce("n", F.lit(0))).alias("dot"))
+    return dots.agg(F.coalesce(F.min("dot"), F.lit(0)).cast("bigint").alias("estimate"))
+
+
 def count_sketch(df: DataFrame, key: str, depth: int, width: int) -> DataFrame:
     """(row, cell, n) with signs, for unbiased estimates."""
     x = df.select(F.col(key), F.explode(_cells(F.col(key), depth, width)).alias("c"))
@@ -83,8 +89,8 @@ def bloom_prefilter(left: DataFrame, right: DataFrame, key: str, bits: int, hash
     return left.crossJoin(F.broadcast(row)).where(hit).drop("_f")
 
 
-def tdigest_quantiles(df: DataFrame, value: str, by: list[str], qs: list[float], compression: int = 200) -> DataFrame:
-    """(by, q, estimate) by t-digests: one for each task and key, of at most 2 * compression centroids, merged by key."""
+def _digested(df: DataFrame, value: str, by: list[str], at_name: str, points: list[float], answer: Callable[[np.ndarray, np.ndarray], np.ndarray], compression: int) -> DataFrame:
+    """(by, at_name, estimate): what `answer` tells of the means and middle ranks of a t-digest at the points. One digest for each task and key, of at most 2 * compression centroids, merged by key."""
 
     def squeeze(m: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(m, kind="stable")
@@ -110,10 +116,20 @@ def tdigest_quantiles(df: DataFrame, value: str, by: list[str], qs: list[float],
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         m, w = squeeze(pdf["m"].to_numpy(), pdf["w"].to_numpy())
         at = (np.cumsum(w) - w / 2) / w.sum()
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(qs) for c in by}, "q": qs, "estimate": np.interp(qs, at, m)})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(points) for c in by}, at_name: points, "estimate": answer(m, at)})
 
     parts = df.select(*by, F.col(value).cast("double").alias(value)).mapInPandas(part, f"{kind}, m double, w double")
-    return parts.groupBy(*by).applyInPandas(whole, f"{kind}, q double, estimate double")
+    return parts.groupBy(*by).applyInPandas(whole, f"{kind}, {at_name} double, estimate double")
+
+
+def tdigest_quantiles(df: DataFrame, value: str, by: list[str], qs: list[float], compression: int = 200) -> DataFrame:
+    """(by, q, estimate) by t-digests."""
+    return _digested(df, value, by, "q", qs, lambda m, at: np.interp(qs, at, m), compression)
+
+
+def tdigest_cdf(df: DataFrame, value: str, by: list[str], xs: list[float], compression: int = 200) -> DataFrame:
+    """(by, x, estimate): the share of values up to x by t-digests; 0 under the first centroid and 1 over the last."""
+    return _digested(df, value, by, "x", xs, lambda m, at: np.interp(xs, m, at, left=0.0, right=1.0), compression)
 
 
 def reservoir(df: DataFrame, key: str, k: int, by: list[str], seed: int) -> DataFrame:

@@ -122,6 +122,19 @@ def winsorized_mean(df: DataFrame, value: str, limit: float, by: list[str]) -> D
     return df.join(q, by).groupBy(*by).agg(F.avg(F.least(F.greatest(F.col(value), "_lo"), "_hi")).alias("winsorized_mean"))
 
 
+def winsorized_variance(df: DataFrame, value: str, limit: float, by: list[str], ddof: int = 1) -> DataFrame:
+    """Variance after values beyond the limit and 1 - limit quantiles are moved to them. Null values and keys are left out."""
+    q = quantiles(df, value, {"_lo": limit, "_hi": 1 - limit}, by)
+    moved = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), "_lo"), "_hi"))
+    return df.join(q, by).groupBy(*by).agg((F.var_samp if ddof else F.var_pop)(moved).alias("winsorized_variance"))
+
+
+def mean_abs_deviation(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Mean distance of a key's values to their mean. Null values and keys are left out."""
+    m = df.groupBy(*by).agg(F.avg(value).alias("_m"))
+    return df.select(*by, value).join(m, by).groupBy(*by).agg(F.avg(F.abs(F.col(value) - F.col("_m"))).alias("mean_abs_deviation"))
+
+
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 

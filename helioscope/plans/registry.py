@@ -34,4 +34,4 @@ def rounded(**columns: Column) -> list[Column]:
     return [F.round(c, 6).alias(name) for name, c in columns.items()]
 
 
-from helioscope.plans import evaluation, graphs, hypotheses, more, relational, signals, statistics, streams, structures, texts  # noqa: E402, F401
+from helioscope.plans import evaluation, graphs, hypotheses, more, relational, shapes, signals, statistics, streams, structures, texts  # noqa: E402, F401
