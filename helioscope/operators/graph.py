@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir. One machine may name none; a cluster must."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. One machine may name none; a cluster must."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/helioscope")
-        spark.conf.set("spark.checkpoint.dir", "/tmp/checkpoints/helioscope")
+        named = "/tmp/checkpoints/helioscope"
+        spark.sparkContext.setCheckpointDir(named)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -10,6 +10,7 @@ from helioscope.operators import joins, sketches
 from helioscope.operators import windows as W
 from helioscope.plans.registry import query, rounded
 from helioscope.session import load
+from helioscope.streaming import state
 from helioscope.streaming import windows as S
 
 
@@ -145,3 +146,18 @@ def bloom_semi_join(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
     return sketches.reservoir(load(spark, d, "events"), "event_id", 100, ["event_type"], 7)
+
+
+@query("""WITH RECURSIVE n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, value) AS i FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
+    r AS (SELECT user_id, i, value AS mean, value AS ewma, 0::DOUBLE AS spread, 0::DOUBLE AS up, 0::DOUBLE AS down, 0 AS changes FROM n WHERE i = 1
+        UNION ALL SELECT user_id, i, mean, ewma, 0.2 * power(value - ewma, 2) + 0.8 * spread, CASE WHEN fire THEN 0 ELSE up END, CASE WHEN fire THEN 0 ELSE down END, changes + fire::INT
+        FROM (SELECT *, up > 100 OR down > 100 AS fire FROM (SELECT *, greatest(0, up0 + value - mean - 5) AS up, greatest(0, down0 - value + mean - 5) AS down
+        FROM (SELECT n.user_id, n.i, n.value, r.mean + (n.value - r.mean) / n.i AS mean, 0.2 * n.value + 0.8 * r.ewma AS ewma, r.spread, r.up AS up0, r.down AS down0, r.changes FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1))))
+    SELECT user_id, max(i) AS n, round(max_by(mean, i), 6) AS mean, round(max_by(ewma, i), 6) AS ewma, round(max_by(spread, i), 6) AS ewma_variance, max(changes)::BIGINT AS changes FROM r GROUP BY user_id""")
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The last state of each user and the changes found, from a stream of the events' file."""
+    schema = load(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    x = state.settled(state.analyzed(events, "value", ["ts", "event_id"], ["user_id"], 0.2, 5.0, 100.0), spark)
+    last = [F.round(F.max_by(c, "n"), 6).alias(c) for c in ("mean", "ewma", "ewma_variance")]
+    return x.groupBy("user_id").agg(F.max("n").cast("bigint").alias("n"), *last, F.sum("change").cast("bigint").alias("changes"))
