@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helioscope.functions import extract
 from helioscope.functions import text as T
 from helioscope.operators.graph import cut, neighbour_similarity
 from helioscope.operators.prefix import lagged
@@ -129,3 +130,18 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS text_chars, len(regexp_extract_all(html, '<a ')) AS links FROM pages""")
 def page_stats(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/:]+)", 1).alias("host"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("bigint").alias("text_chars"), T.count_matches(F.col("html"), "<a ").cast("bigint").alias("links"))
+
+
+KINDS = " UNION ALL ".join(f"SELECT o_orderkey, '{k}' AS kind, unnest(regexp_extract_all(t, '{p}')) AS x FROM s" for k, p in [*extract.ENTITIES.items(), *((f"temporal_{k}", p) for k, p in extract.TEMPORAL.items())])
+
+
+@query(f"""WITH s AS (SELECT o_orderkey, 'On ' || strftime(o_orderdate, '%Y-%m-%d') || ' order ' || o_orderkey || ' cost $' || floor(o_totalprice)::BIGINT || ', due in ' || o_orderkey % 40 || ' days or next Monday; write to c' || o_custkey || '@example.org, see https://example.org/o/' || o_orderkey || ' or call 555-' || (100 + o_orderkey % 900) || '-0199 between 9:00 - 17:30 in Summer' AS t FROM orders),
+    k AS ({KINDS}) SELECT o_orderkey, kind, count(*) AS n, min(x) AS least, max(x) AS most FROM k GROUP BY ALL""")
+def extracted_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """Entities and expressions of time in a sentence on each order."""
+    k = F.col("o_orderkey")
+    words = ["On ", F.date_format("o_orderdate", "yyyy-MM-dd"), " order ", k, " cost $", F.floor("o_totalprice").cast("bigint"), ", due in ", k % 40, " days or next Monday; write to c", F.col("o_custkey")]
+    words += ["@example.org, see https://example.org/o/", k, " or call 555-", 100 + k % 900, "-0199 between 9:00 - 17:30 in Summer"]
+    t = load(spark, d, "orders").select("o_orderkey", F.concat(*(F.lit(w) if isinstance(w, str) else w.cast("string") for w in words)).alias("t"))
+    x = t.select("o_orderkey", F.inline(F.concat(extract.entities(F.col("t")), extract.temporal(F.col("t")))))
+    return x.groupBy("o_orderkey", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("least"), F.max("text").alias("most"))
