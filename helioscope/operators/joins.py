@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helioscope.operators import prefix
+
 
 def hash_join(left: DataFrame, right: DataFrame, on: list[str], arrival: tuple[str, str] | None = None) -> DataFrame:
     """All pairs of equal keys; with `arrival`, only pairs whose left row came first."""
@@ -44,11 +48,22 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
     return both.withColumn(value, F.last("_v", True).over(w)).where("_side = 1").drop("_t", "_side", "_v")
 
 
-def nearest(points: DataFrame, centres: DataFrame, distance: Column) -> DataFrame:
-    """(id, centre, distance) of the nearest centre of each point, ties to the least number. centres: at most 10,000 rows, which are broadcast."""
-    n = centres.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("more than 10,000 centres: they are broadcast")
-    pairs = points.crossJoin(F.broadcast(centres)).withColumn("distance", distance)
-    best = F.min(F.struct("distance", "centre"))
-    return pairs.groupBy("id").agg(best.alias("b")).select("id", "b.centre", "b.distance")
+def nearest(points: DataFrame, centres: DataFrame, distance: Column, block: int = 10_000) -> DataFrame:
+    """(id, centre, distance) of the nearest centre of each point, ties to the least number.
+
+    Centres are broadcast a block of consecutive numbers at a time, each against
+    all points, and the blocks' nearest are compared. Without a centre there is
+    no row.
+    """
+    n = centres.count()
+    if n > block:
+        numbered = prefix.numbered(centres, [F.col("centre")], "_c")
+        parts = [numbered.where(F.col("_c").between(a, a + block - 1)).drop("_c") for a in range(0, n, block)]
+    else:
+        parts = [centres]
+    best = F.min(F.struct("distance", "centre")).alias("b")
+    found = [points.crossJoin(F.broadcast(c)).withColumn("distance", distance).groupBy("id").agg(best).select("id", "b.*") for c in parts]
+    pairs = reduce(DataFrame.union, found)
+    if len(found) > 1:
+        pairs = pairs.groupBy("id").agg(best).select("id", "b.*")
+    return pairs.select("id", "centre", "distance")

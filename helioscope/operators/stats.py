@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helioscope.operators.prefix import quantiles, running
+from helioscope.operators.prefix import numbered, quantiles, running
 
 
 def ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank") -> DataFrame:
@@ -25,20 +25,35 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranks(a, y, name="ry").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def kendall(df: DataFrame, x: str, y: str, levels: int = 10_000) -> DataFrame:
-    """tau-b from the table of distinct (x, y): at most `levels` distinct pairs, which are joined with themselves."""
-    t = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    if t.limit(levels + 1).count() > levels:
-        raise ValueError(f"more than {levels} distinct pairs: bin the values first")
-    a, b = t.alias("a"), F.broadcast(t).alias("b")
-    s = F.signum(F.col("a.x") - F.col("b.x")) * F.signum(F.col("a.y") - F.col("b.y"))
-    pairs = F.col("a.n") * F.col("b.n")
-    score = a.crossJoin(b).agg(F.sum(s * pairs).alias("s"))
-    ties = lambda c: t.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1)).alias(f"t{c}"))
-    n = t.agg(F.sum("n").alias("n"))
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(tau, n): tau-b over the rows where both are given; null where all of x or of y are tied, n is 0 without rows.
+
+    Distinct pairs are counted, and y becomes its place among the distinct ys.
+    Two places first differ at one bit: below the same higher bits one has a
+    zero there and the other a one. So each pair is written once for each bit,
+    and in the order of (bit, higher bits, x) the ones meet the sum of the zeros
+    before and after them. The rows are ranges of that order, so no group of
+    equal bits is in one task. Sums are exact, of up to 38 digits.
+    """
+    t = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    places = numbered(t.select("y").distinct(), [F.col("y")], "place").select(F.col("y").alias("_y"), "place")
+    bits = max(int(places.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]).bit_length(), 1)
+    rows = t.join(places, F.col("y") == F.col("_y")).select("x", "place", "n", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    one = F.expr("shiftright(place, bit) & 1") == 1
+    c = rows.groupBy("bit", F.expr("shiftright(place, bit + 1)").alias("high"), "x").agg(F.sum(F.when(one, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(one, 0).otherwise(F.col("n"))).alias("zeros"))
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    r = running(c.withColumn("_key", F.struct("bit", "high", "x")), "_key", ["zeros"])
+    g = r.groupBy("bit", "high").agg(
+        F.sum((exact("ones") * exact("run_zeros")).cast("decimal(38,0)")).alias("met"), F.sum((exact("ones") * exact("zeros")).cast("decimal(38,0)")).alias("level"),
+        F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.min(F.col("run_zeros") - F.col("zeros")).alias("start"),
+    )
+    # a one at x counts the zeros before it and, against it, those after: 2 * (run - start) - zeros at x - all zeros
+    score = g.agg(F.sum((2 * F.col("met") - F.col("level") - (exact("ones") * (2 * exact("start") + exact("zeros")).cast("decimal(19,0)"))).cast("decimal(38,0)")).cast("double").alias("s"))
+    ties = lambda c: t.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum((exact("m") * (exact("m") - 1)).cast("decimal(38,0)")).cast("double").alias(f"t{c}"))
+    n = t.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
     out = score.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(n)
     total = F.col("n") * (F.col("n") - 1)
-    return out.select((F.col("s") / F.sqrt((total - F.col("tx")) * (total - F.col("ty")))).alias("tau"), "n")
+    return out.select((2 * F.col("s") / F.nullif(F.sqrt((total - F.col("tx")) * (total - F.col("ty"))), F.lit(0.0))).alias("tau"), "n")
 
 
 def welch_t(df: DataFrame, value: str, group: str, first, second) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helioscope.operators import shape, sketches, stats
+from helioscope.operators import joins, shape, sketches, stats
 
 
 def brute(v):
@@ -77,3 +77,25 @@ def test_shares_by_digests(spark):
     for (_, at), share in got.items():
         assert share == pytest.approx(min(max(at, 0.0), 1.0), abs=0.01)
     assert len(got) == 8
+
+
+def test_kendall_of_any_number_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    for x, y in ((rng.normal(size=400), rng.normal(size=400)), (rng.integers(0, 9, 300), rng.integers(0, 5, 300)), (np.arange(50), -np.arange(50)), ([1, 1, 2], [4, 4, 4])):
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        s = (np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum()
+        ties = [((v[:, None] - v) != 0).sum() for v in (x, y)]
+        rows = list(zip(x.tolist(), y.tolist())) + [(None, 1.0), (1.0, None)]
+        got = stats.kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+        assert got["n"] == len(x)
+        assert got["tau"] == (pytest.approx(s / np.sqrt(ties[0] * ties[1])) if all(ties) else None)
+    assert tuple(stats.kendall(spark.createDataFrame([], "x double, y double"), "x", "y").first()) == (None, 0.0)
+
+
+def test_nearest_by_blocks(spark):
+    points = spark.range(200).select("id", (F.col("id") * 0.7).alias("x"))
+    centres = spark.range(60).select(F.col("id").alias("centre"), (F.col("id") * 3 % 61).cast("double").alias("c"))
+    far = F.abs(F.col("x") - F.col("c"))
+    want = joins.nearest(points, centres, far).collect()
+    assert sorted(joins.nearest(points, centres, far, block=7).collect()) == sorted(want) and len(want) == 200
+    assert joins.nearest(points, centres.limit(0), far).count() == 0
