@@ -97,12 +97,12 @@ def ewma(series: Column, alpha: float) -> Column:
 
 
 def cusum(series: Column, target: float, slack: float, threshold: float) -> Column:
-    """Number of two-sided CUSUM alarms; an alarm resets both sums."""
+    """Number of two-sided CUSUM alarms; an alarm resets both sums. Slack goes into the target first, so that each step adds and subtracts as `sum + x - (target + slack)` does in SQL: another order of the terms rounds sums near the threshold to its other side."""
     zero = F.struct(F.lit(0.0).alias("hi"), F.lit(0.0).alias("lo"), F.lit(0).alias("alarms"))
 
     def step(s: Column, x: Column) -> Column:
-        hi = F.greatest(F.lit(0.0), s["hi"] + x - target - slack)
-        lo = F.greatest(F.lit(0.0), s["lo"] - x + target - slack)
+        hi = F.greatest(F.lit(0.0), s["hi"] + x - (target + slack))
+        lo = F.greatest(F.lit(0.0), s["lo"] - x + (target - slack))
         fire = (hi > threshold) | (lo > threshold)
         return F.struct(F.when(fire, 0.0).otherwise(hi).alias("hi"), F.when(fire, 0.0).otherwise(lo).alias("lo"), (s["alarms"] + F.when(fire, 1).otherwise(0)).alias("alarms"))
 

@@ -53,3 +53,12 @@ def test_skip_grams_and_jaccard_of_documents(spark, sf_dir):
     assert {(r["doc_id"], r["pair"]): r["n"] for r in registry.QUERIES["skip_grams_documents"](spark, sf_dir).collect()} == want
     got = {(r["a"], r["b"]): r["jaccard"] for r in registry.QUERIES["jaccard_document_pairs"](spark, sf_dir).collect()}
     assert got == {(a, b): pytest.approx(x, abs=1e-6) for a, b, _, x in similarities({i: set(w) for i, w in words.items()})}
+
+
+def test_cusum_at_the_threshold(spark, tmp_path):
+    duckdb.sql("CREATE OR REPLACE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + i * INTERVAL 1 MINUTE AS ts, u AS user_id, v::DOUBLE AS value FROM (VALUES (1, 7, 14.16), (2, 7, 3.51), (3, 7, 17.33), (4, 8, 155.01), (5, NULL, 300)) t(i, u, v)")
+    duckdb.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = duckdb.sql(registry.ORACLES["cusum_holt_by_user"]).fetchall()
+    duckdb.sql("DROP TABLE events")
+    got = [tuple(r) for r in registry.QUERIES["cusum_holt_by_user"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {u: a for u, a, _ in got} == {7: 0, 8: 1}
