@@ -1,5 +1,6 @@
 """Queries over whole texts and whole tables against brute force on the driver's smallest tables."""
 
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -7,6 +8,7 @@ from itertools import combinations
 import duckdb
 import pytest
 
+from helioscope.operators import graph, overlaps
 from helioscope.plans import registry
 
 
@@ -62,3 +64,21 @@ def test_cusum_at_the_threshold(spark, tmp_path):
     duckdb.sql("DROP TABLE events")
     got = [tuple(r) for r in registry.QUERIES["cusum_holt_by_user"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and {u: a for u, a, _ in got} == {7: 0, 8: 1}
+
+
+@pytest.mark.parametrize("kind", [int, str])
+@pytest.mark.parametrize("block", [40, 1 << 21])
+def test_similarity_moves_no_pairs(spark, monkeypatch, kind, block):
+    monkeypatch.setattr(overlaps, "BLOCK", block)  # links a range of sources
+    draw = random.Random(3)
+    links = [(kind(draw.randrange(60)), kind(int(draw.paretovariate(0.7)) % 50)) for _ in range(400)]  # some of them twice
+    hot = [(kind(900 + i), kind(77)) for i in range(40)]
+    sets = defaultdict(set)
+    for a, b in links + hot:
+        sets[a].add(b)
+    t = {int: "bigint", str: "string"}[kind]
+    df = graph.neighbour_similarity(spark.createDataFrame(links + hot + [(None, kind(77)), (kind(5), None)], f"src {t}, dst {t}"), 6)
+    want = {(a, b): (n, pytest.approx(x, abs=1e-6)) for a, b, n, x in similarities(sets)}
+    rows = df.collect()
+    assert {(r["a"], r["b"]): (r["common"], r["jaccard"]) for r in rows} == want and len(rows) == len(want)
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
