@@ -82,3 +82,19 @@ def test_similarity_moves_no_pairs(spark, monkeypatch, kind, block):
     rows = df.collect()
     assert {(r["a"], r["b"]): (r["common"], r["jaccard"]) for r in rows} == want and len(rows) == len(want)
     assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarity_moves_a_block_once(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "BLOCK", 40)
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():  # rows that stages wrote for a shuffle
+        x = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(x.apply(i).shuffleWriteRecords() for i in range(x.size()))
+
+    links = [(i, j) for i in range(60) for j in (i % 7, 7 + i % 11, 20)]  # five blocks or more, all of which meet
+    df = graph.neighbour_similarity(spark.createDataFrame(links, "src bigint, dst bigint"))
+    blocks = spark.read.parquet(*df.inputFiles()).count()
+    before = moved()
+    assert len(df.collect()) == 60 * 59 // 2
+    assert 5 <= blocks and blocks <= moved() - before <= 2 * blocks
