@@ -84,7 +84,8 @@ def test_similarity_moves_no_pairs(spark, monkeypatch, kind, block):
     assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_similarity_moves_a_block_once(spark, monkeypatch):
+@pytest.mark.parametrize("kind", [int, str])
+def test_similarity_moves_a_block_once(spark, monkeypatch, kind):
     monkeypatch.setattr(overlaps, "BLOCK", 40)
     jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
 
@@ -92,8 +93,8 @@ def test_similarity_moves_a_block_once(spark, monkeypatch):
         x = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
         return sum(x.apply(i).shuffleWriteRecords() for i in range(x.size()))
 
-    links = [(i, j) for i in range(60) for j in (i % 7, 7 + i % 11, 20)]  # five blocks or more, all of which meet
-    df = graph.neighbour_similarity(spark.createDataFrame(links, "src bigint, dst bigint"))
+    links = [(i, kind(j)) for i in range(60) for j in (i % 7, 7 + i % 11, 20)]  # five blocks or more, all of which meet
+    df = graph.neighbour_similarity(spark.createDataFrame(links, f"src bigint, dst {'string' if kind is str else 'bigint'}"))
     blocks = spark.read.parquet(*df.inputFiles()).count()
     before = moved()
     assert len(df.collect()) == 60 * 59 // 2
